@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +15,27 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 1000
 
 
+_sent: set[str] = set()
+
+
+def send_code(spark: SparkSession) -> None:
+    """Give the executors this package, whatever their path, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _sent:
+        return
+    _sent.add(sc.applicationId)
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="loomframe-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{package.name}.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(f"{folder}/{package.name}.zip")
+
+
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches; long documents make the default of 10,000 rows too much for a worker."""
+    send_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
