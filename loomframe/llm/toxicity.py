@@ -1,7 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct hashes (`2**bits` buckets) of its words, pairs of neighbours and pairs with one
-word between. Training reads a bounded sample of labelled rows (`per_class` of each label, by a hash), as one pass
+word between, each with the value scale / sqrt(1 + 3 * words); those of fewer than `min_docs` sampled texts are left
+out. Training reads a bounded sample of labelled rows (`per_class` of each label, by a hash), as one pass
 after another of FTRL-proximal: per-coordinate rates, and an L1 term that leaves few weights, which are broadcast
 (at most 2**bits numbers). Scoring is one map over all texts.
 
@@ -29,8 +30,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0)) == 0
 
 
-def _features(part: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, row) of a batch's texts, with repeats."""
+SCALE = 16.0
+
+
+def _features(part: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, row) of a batch's texts, with repeats, and the value that each row's features have."""
     w = Words(*buffer(part.column("text")), ALNUM)
     h = w.hashes()
     idx, at = [], []
@@ -39,10 +43,10 @@ def _features(part: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray]:
         ok = np.flatnonzero(inside(w.first, skips[-1] + 1))
         idx.append((g[ok] >> np.uint64(64 - bits)).astype(np.int64))
         at.append(np.searchsorted(w.first, ok, "right") - 1)
-    return np.concatenate(idx), np.concatenate(at)
+    return np.concatenate(idx), np.concatenate(at), SCALE / np.sqrt(1 + 3 * np.diff(w.first))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bits: int = 20, per_class: int = 5000, passes: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bits: int = 20, per_class: int = 5000, passes: int = 8, min_docs: int = 3, alpha: float = 3.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, features, weights). Labels of held-out documents are not read."""
     spark = docs.sparkSession
     tune(spark)
@@ -54,24 +58,28 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bits: int
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                idx, at = _features(part, bits)
+                idx, at, x = _features(part, bits)
                 pair = np.unique(at << bits | idx)
                 cut = np.searchsorted(pair >> bits, np.arange(part.num_rows + 1))
                 rows = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((pair & ((1 << bits) - 1)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y"), rows], ["h", "y", "f"])
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y"), rows, pa.array(x)], ["h", "y", "f", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(y, f.values.to_numpy()[f.offsets[k].as_py() : f.offsets[k + 1].as_py()]) for b in batches for f in (b.column("f"),) for k, y in enumerate(b.column("y").to_pylist())]
-        if len({y for y, _ in rows}) == 2:
+        rows = []
+        for b in batches:
+            f, cut = b.column("f").values.to_numpy(), b.column("f").offsets.to_numpy()
+            rows += [(y, x, f[cut[k] : cut[k + 1]]) for k, (y, x) in enumerate(zip(b.column("y").to_pylist(), b.column("x").to_pylist(), strict=True))]
+        if len({y for y, *_ in rows}) == 2:
+            often = np.bincount(np.concatenate([f for *_, f in rows]), minlength=(1 << bits) + 1) >= min_docs
+            rows = [(y, x, np.append(f[often[f]], 1 << bits)) for y, x, f in rows]  # the last feature is the bias
             z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
             for _ in range(passes):
-                for y, f in rows:
-                    f = np.append(f, 1 << bits)  # the bias
+                for y, x, f in rows:
                     zf, root = z[f], np.sqrt(n[f])
                     shrink = np.full(len(f), l1)
                     shrink[-1] = 0
                     w = np.where(np.abs(zf) <= shrink, 0, (np.sign(zf) * shrink - zf) / ((beta + root) / alpha + l2))
-                    g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                    g = (1 / (1 + np.exp(-np.clip(w.sum() * x, -35, 35))) - y) * x
                     z[f] = zf + g - (np.sqrt(n[f] + g * g) - root) / alpha * w
                     n[f] += g * g
             shrink = np.full(len(z), l1)
@@ -81,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bits: int
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["f", "w"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "h", "y")  # 2 * per_class rows at most
-    features = sample.mapInArrow(extract, "h long, y int, f array<int>").repartition(1).sortWithinPartitions("h", "y", "f")
+    features = sample.mapInArrow(extract, "h long, y int, f array<int>, x double").repartition(1).sortWithinPartitions("h", "y", "f")
     rows = features.mapInArrow(learn, "f long, w double").collect()
     if not rows:
         return -np.inf, np.zeros(0, np.int64), np.zeros(0)
@@ -102,11 +110,11 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], *, bits:
         weight[f] = w
         for batch in batches:
             for part in slices(batch):
-                idx, at = _features(part, bits)
+                idx, at, x = _features(part, bits)
                 ok = np.flatnonzero(weight[idx])
                 pair = np.unique(at[ok] << bits | idx[ok])
-                total = bias + np.bincount(pair >> bits, weight[pair & ((1 << bits) - 1)], part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))) if np.isfinite(bias) else np.zeros(part.num_rows))], ["doc_id", "score"])
+                total = (bias + np.bincount(pair >> bits, weight[pair & ((1 << bits) - 1)], part.num_rows)) * x if np.isfinite(bias) else np.full(part.num_rows, -np.inf)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.where(np.isfinite(total), 1 / (1 + np.exp(-np.clip(total, -700, 700))), 0.0))], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
