@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Pieces that one worker remembers, and the longest of them in characters; more start a new memory.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 600_000, 48
 _CUT = "\x00"
 _BLANKS = re.compile(r"\s\s|\x00")
 
@@ -54,7 +55,7 @@ class Encoder:
         return cls._made.setdefault((path, end_id), None) or cls._made.update({(path, end_id): (e := cls(path, end_id))}) or e
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.encode.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.encode.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.pieces is None:
@@ -67,11 +68,15 @@ class Encoder:
         if older:
             known.update({k: older[k] for k in new if k in older})
             new.difference_update(known)
-        new = list(new)
-        made = dict(zip(new, self._plain(new), strict=True))
-        known.update(made)
+        # A word with a mark behind it: the mark is a pre-token of its own.
+        marked = [k for k in new if len(k) > 1 and k[-1] in ",." and k[-2].isalnum()]
+        new.difference_update(marked)
+        new.update(k for m in marked for k in (m[:-1], m[-1]) if k not in known)
+        made = list(new)
+        known.update(zip(made, self._plain(made), strict=True))
+        known.update([(m, known[m[:-1]] + known[m[-1]]) for m in marked])
         out = [b"".join(map(known.__getitem__, x)) + self.end for x in cut]
-        for k in made:
+        for k in made + marked:
             if len(k) > LONGEST:
-                del known[k]
+                known.pop(k, None)
         return out
