@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pack, token_index, toxicity
+from . import decontaminate, langid, pack, quality, secrets, token_index, toxicity
 from ._spark import table
 
 
@@ -27,16 +27,26 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(secrets.findings(docs, secrets.scan(docs)))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.drop("lang", *quality.GRIDS)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op3_decontaminate, op4_token_index, op8_pack, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secrets, op2_langid, op3_decontaminate, op4_token_index, op8_pack, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
