@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pack, quality, secrets, token_index, toxicity
+from . import decontaminate, jaccard, langid, pack, quality, secrets, token_index, toxicity
 from ._spark import table
 
 
@@ -23,6 +23,10 @@ def op4_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.read(spark, path, token_index.expand(found, path))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_langid, op3_decontaminate, op4_token_index, op8_pack, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secrets, op2_langid, op3_decontaminate, op4_token_index, op5_jaccard, op8_pack, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
