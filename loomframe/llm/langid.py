@@ -132,8 +132,8 @@ def train(docs: DataFrame, *, n: int = 5, per_language: int = 3000, min_share: f
     return Filter(languages, [g[k == i].view(U64) for i in range(len(languages))], bits, hashes)
 
 
-def predict(docs: DataFrame, model: Filter, *, n: int = 5) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score (the winner's part of all corrected counts)."""
+def predict(docs: DataFrame, model: Filter, *, n: int = 5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document: the columns `keep`, lang_pred, score (the winner's part of all corrected counts)."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -152,11 +152,14 @@ def predict(docs: DataFrame, model: Filter, *, n: int = 5) -> DataFrame:
                     best[some] = fixed.argmax(0)[some]
                     total = fixed.sum(0)
                     score[some] = (fixed.max(0) / np.maximum(total, 1e-9))[some]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(apply, schema + ", lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, n: int = 5, **options) -> DataFrame:
-    return predict(docs, train(docs, n=n, **options), n=n)
+    """Per document: doc_id, held_out, lang_pred, score."""
+    out = predict(docs.withColumn("doc_id", F.col("doc_id").cast("long")), train(docs, n=n, **options), n=n)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

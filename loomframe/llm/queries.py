@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, pack, quality, secrets, token_index, toxicity
+from . import decontaminate, jaccard, langid, lines, pack, quality, secrets, surrogates, token_index, toxicity
 from ._spark import table
 
 
@@ -27,10 +27,22 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_lines(table(spark, sf_dir, "documents"))
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: The queries' key; a corpus that is given away needs a secret one.
+SURROGATE_KEY = b"loomframe public demonstration key"
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.report(secrets.findings(docs, secrets.scan(docs)))
@@ -49,8 +61,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py at the repository's top."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_langid, op3_decontaminate, op4_token_index, op5_jaccard, op8_pack, op9_quality, op10_toxicity)}
+    ops = (op1_secrets, op2_langid, op3_decontaminate, op4_token_index, op5_jaccard, op6_lines, op7_surrogates, op8_pack, op9_quality, op10_toxicity, pipeline)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
