@@ -9,12 +9,13 @@ nodes link when 100 * intersection >= percent * union. Steps, all on tables:
    documents whose prefix reaches beyond it, for their other shingles.
 2. Prefixes. Sets that link share at least DEPTH of their first n - ceil(p * n) + DEPTH shingles in that order (all of
    them in very small sets). Shingles that one node alone has in its prefix are dropped.
-3. Groups. Each shingle's smallest node is a pivot; every node is verified against one pivot that shares a prefix
-   shingle with it, and the components of these links are the groups of similar documents: thousands of near copies
-   are one group after as many verifications.
+3. Groups. Each prefix shingle has a pivot, the node whose prefix is the most common; every node is verified against
+   the best pivot among its shingles', and the components of these links are the groups of similar documents:
+   thousands of near copies are one group after as many verifications.
 4. Token-group matrix. A row per shingle and group (the groups' unions), with the range of set sizes in the group. A
-   node's overlap with another group is bounded by the prefix shingles they share; only groups that reach the
-   DEPTH shingles and the size range are opened, and of an opened group only members that share shingles are verified.
+   node's overlap with a larger group is bounded by the prefix shingles they share and what stands behind the last of
+   them; only groups that reach DEPTH shingles, the size range and the overlap that a link needs are opened, and of an
+   opened group only the members are verified that pass the same bounds one by one.
 5. Verification compares whole sets. A pivot's partners are split into chunks, the pivot's text going to each.
    Components over all links give the result; pairs inside a group aren't listed, as its members are linked already.
 
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,12 +42,21 @@ from ._text import SOLID, Words, buffer, inside, mix, shingles, slices
 from .components import components
 
 U64 = np.uint64
-LOW = 0.35
+LOW = 0.3
 DEPTH = 3
 CHUNK = 256
 NO_ID = 2**63 - 1
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; quicker than np.unique on short arrays."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
     """Each text's sorted distinct shingles."""
     w = Words(*buffer(part.column("text")), SOLID)
@@ -55,7 +65,7 @@ def sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
     short = {k: shingles(h, k) for k in set(n[(n > 0) & (n < size)].tolist())}
     out = []
     for a, k in zip(first.tolist(), n.tolist(), strict=False):
-        out.append(np.unique(g[a : a + k - size + 1]) if k >= size else short[k][a : a + 1] if k else g[:0])
+        out.append(_distinct(g[a : a + k - size + 1]) if k >= size else short[k][a : a + 1] if k else g[:0])
     return out
 
 
@@ -160,11 +170,6 @@ def _order(docs: DataFrame, size: int, percent: int, heavy: int, heavy_min: int)
     return _Order(np.concatenate((first.tokens, second.tokens)), np.concatenate((first.counts, second.counts)))
 
 
-def _fits(n: Column, m: Column, percent: int) -> Column:
-    """Can sets of these sizes link?"""
-    return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
-
-
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, size: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Those of the pairs (a, b) whose sets link. b's partners are dealt in chunks; b should be the more frequent side."""
     spark = docs.sparkSession
@@ -237,12 +242,11 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
         held, total = [], 0
 
         def batch_of() -> pa.RecordBatch:
-            t, k, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(k), pa.array(n)], ["token", "node", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["token", "node", "n", "pos"])
 
         for k, s in _new_sets(batches, size):
             p = order.value.prefix(s, percent)
-            held.append((p.view(np.int64), np.full(len(p), k), np.full(len(p), len(s), np.int32)))
+            held.append((p.view(np.int64), np.full(len(p), k), np.full(len(p), len(s), np.int32), np.arange(1, len(p) + 1, dtype=np.int32)))
             total += len(p)
             if total > 200_000:
                 yield batch_of()
@@ -250,31 +254,64 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
         if held:
             yield batch_of()
 
-    from pyspark.sql import Window
-
     by = Window.partitionBy("token")
-    posts = docs.select("text").mapInArrow(prefixes, "token long, node long, n int")
-    posts = posts.withColumn("pivot", F.min("node").over(by)).withColumn("top", F.max("node").over(by)).where("pivot <> top").drop("top")
-    posts = stash(posts, "prefixes")
-
-    first = posts.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b")
-    first = stash(first, "first")
+    n, least = F.col("n"), F.least(F.lit(DEPTH), F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100))
+
+    def fits(n: Column, m: Column) -> Column:
+        return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+
+    def overlap(n: Column, m: Column) -> Column:
+        """The least overlap of linked sets of these sizes."""
+        return F.ceil(percent * (n + m) / (100 + percent))
+
+    def within(pos: Column, n: Column, m: Column) -> Column:
+        """Sets of n and m that link share DEPTH shingles at such places of n's order; any bound holds by these alone."""
+        return pos <= n - overlap(n, m) + DEPTH
+
+    def able(rows: DataFrame, lo: Column) -> DataFrame:
+        """Rows of nodes that can still link with one of the nodes they share shingles with; lo: the smallest of these."""
+        bound = rows.withColumn("lo", F.greatest(lo, F.ceil(n * percent / 100))).groupBy("node", "n").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("last"), F.min("lo").alias("lo"))
+        bound = bound.where((F.col("c") >= least) & (F.col("c") + n - F.col("last") >= overlap(n, F.col("lo"))))
+        return rows.join(bound.select("node"), "node", "left_semi")
+
+    posts = docs.select("text").mapInArrow(prefixes, "token long, node long, n int, pos int")
+    posts = stash(posts.withColumn("df", F.count(F.lit(1)).over(by)).withColumn("lo", F.min("n").over(by)).where("df > 1"), "prefixes")
+    posts = able(posts, F.col("lo")).drop("df", "lo")
+    posts = stash(posts.withColumn("df", F.count(F.lit(1)).over(by)).where("df > 1"), "shared")
+
+    # Pivots: a text that others were made from has few shingles of its own, so common ones fill its prefix.
+    score = posts.groupBy("node").agg((F.sum("df") * 1.0).alias("score"))
+    scored = stash(posts.select("token", "node").join(score, "node"), "scored")
+    pivots = scored.groupBy("token").agg(F.max(F.struct("score", "node")).alias("p"))
+    first = scored.join(pivots, "token").where("p.node <> node").groupBy("node").agg(F.max("p").alias("p"))
+    first = stash(first.select(F.col("node").alias("a"), F.col("p.node").alias("b")), "first")
     links = verify(docs, nodes, first, size=size, percent=percent, broadcast_rows=broadcast_rows)
     groups = components(links)
 
-    mine = posts.select("token", "node", "n").join(groups, "node", "left").withColumn("g", F.coalesce("comp", "node")).drop("comp")
-    mixed = mine.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
-    mine = stash(mine.distinct().join(mixed, "token", "left_semi"), "mixed")
+    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("s"))
+    groups = groups.join(sizes, "comp").select("node", "comp", "s")
+    mine = posts.select("token", "node", "n", "pos").join(groups, "node", "left")
+    mine = mine.select("token", "node", "n", "pos", F.struct(F.coalesce("s", F.lit(1)).alias("s"), F.coalesce("comp", "node").alias("id")).alias("g"))
+    for k in range(2):  # shingles in more than one group, of nodes that can link beyond their own
+        mixed = mine.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("n").alias("lo")).where("g0 <> g1").select("token", "lo")
+        mine = stash(able(mine.join(mixed, "token"), F.col("lo")).drop("lo"), f"mixed{k}")
     matrix = mine.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    least = F.least(F.lit(DEPTH), F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100))
-    in_range = (100 * F.col("hi") >= percent * F.col("n")) & (percent * F.col("lo") <= 100 * F.col("n"))
-    bound = mine.join(matrix, "token").where((F.col("g") != F.col("h")) & in_range).groupBy("node", "n", "h").agg(F.count_distinct("token").alias("c")).where(F.col("c") >= least)
-    opened = stash(bound.select("node", "h"), "opened")
-    member = mine.select("token", F.col("node").alias("m"), F.col("n").alias("mn"), F.col("g").alias("h"))
-    pairs = mine.join(opened, "node").join(member, ["token", "h"]).where(_fits(F.col("n"), F.col("mn"), percent))
-    pairs = pairs.groupBy(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b"), F.least("n", "mn").alias("n")).agg(F.count_distinct("token").alias("c")).where(F.col("c") >= least)
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(verify(docs, nodes, pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), size=size, percent=percent, broadcast_rows=broadcast_rows))
+
+    # Each pair of groups is met once, from the smaller group's nodes. What an overlap can be at most: the shared
+    # prefix shingles and all that stands behind the last of them.
+    smallest = F.greatest(F.col("lo"), F.ceil(n * percent / 100))
+    in_range = (100 * F.col("hi") >= percent * n) & (percent * F.col("lo") <= 100 * n)
+    met = mine.join(matrix, "token").where((F.col("g") < F.col("h")) & in_range)
+    met = met.groupBy("node", "n", "h").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("last"), F.min("lo").alias("lo"))
+    opened = stash(met.where((F.col("c") >= least) & (F.col("c") + n - F.col("last") >= overlap(n, smallest))).select("node", "h"), "opened")
+    member = mine.select("token", F.col("node").alias("m"), F.col("n").alias("mn"), F.col("pos").alias("mpos"), F.col("g").alias("h"))
+    near = F.least(F.col("pos"), F.col("mpos")) + F.least(n - F.col("pos"), F.col("mn") - F.col("mpos")) >= overlap(n, F.col("mn"))
+    pairs = mine.join(opened, "node").join(member, ["token", "h"]).where(fits(n, F.col("mn")) & within(F.col("pos"), n, F.col("mn")) & within(F.col("mpos"), F.col("mn"), n) & near)
+    pairs = pairs.groupBy("node", "m", "n", "mn").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("last"), F.max("mpos").alias("mlast"))
+    pairs = pairs.where((F.col("c") >= least) & (F.col("c") + F.least(n - F.col("last"), F.col("mn") - F.col("mlast")) >= overlap(n, F.col("mn"))))
+    tried = first.unionByName(first.select(F.col("a").alias("b"), F.col("b").alias("a")))
+    pairs = pairs.select(F.col("m").alias("a"), F.col("node").alias("b")).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(verify(docs, nodes, pairs, size=size, percent=percent, broadcast_rows=broadcast_rows))
 
     found = components(links).withColumnRenamed("comp", "c")
     joined = nodes.join(found, "node")
