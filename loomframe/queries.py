@@ -5,7 +5,6 @@ Floating results are rounded to 6 places on both sides, so that the order of sum
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from typing import Any
 
@@ -195,10 +194,10 @@ _group("quantile_nearest", lambda v: v.quantile(0.3, "nearest"), "CAST(list_sort
 _group("quantile_midpoint", lambda v: v.quantile(0.3, "midpoint"), "(list_sort(list($v) FILTER ($v IS NOT NULL))[CAST(floor((count($v) - 1) * 0.3) AS BIGINT) + 1] + list_sort(list($v) FILTER ($v IS NOT NULL))[CAST(ceil((count($v) - 1) * 0.3) AS BIGINT) + 1]) / 2.0")
 _group("any", lambda v: (v > 5).any(), "coalesce(bool_or($v > 5), false)")
 _group("all", lambda v: (v >= 0).all(), "coalesce(bool_and($v >= 0), true)")
-_group("first", lambda v: v.first(order_by=["ts", "event_id"]), f"arg_min_null({_v}, struct_pack(a := ts, b := event_id))")
-_group("last", lambda v: v.last(order_by=["ts", "event_id"]), f"arg_max_null({_v}, struct_pack(a := ts, b := event_id))")
+_group("first", lambda v: v.first(order_by=["ts", "event_id"]), f"min_by(struct_pack(v := {_v}), struct_pack(a := ts, b := event_id)).v")
+_group("last", lambda v: v.last(order_by=["ts", "event_id"]), f"max_by(struct_pack(v := {_v}), struct_pack(a := ts, b := event_id)).v")
 _group("any_value", lambda v: (v * 0).any_value(ignore_nulls=True), "CAST(0 AS BIGINT)")
-_group("mode", lambda v: v.mode(keep="any"), f"(list_sort(map_keys(map_from_entries(list_filter(map_entries(histogram({_v})), e -> e.value = list_max(map_values(histogram({_v}))))))))[1]")
+_group("mode", lambda v: v.mode(keep="any"), f"(list_sort(map_keys(map_from_entries(list_filter(map_entries(histogram({_v})), lambda e: e.value = list_max(map_values(histogram({_v}))))))))[1]")
 _group("filter_sum", lambda v: v.filter(col("value") > 10, v > 1).sum(), "CAST(coalesce(sum($v) FILTER (value > 10 AND $v > 1), 0) AS BIGINT)")
 _group("drop_nulls_len", lambda v: v.drop_nulls().len(), "count($v)")
 _group("unique_sum", lambda v: v.unique().sum(), "CAST(coalesce(sum(DISTINCT $v), 0) AS BIGINT)")
@@ -250,8 +249,6 @@ _window("is_last_distinct", lambda x, o: o(x.is_last_distinct()), "row_number()
 _window("first", lambda x, o: o(x.first(order_by=["ts", "event_id"])), f"first_value(x) OVER ({_part} {_ord})", order=False)
 _window("last", lambda x, o: o(x.last()), f"last_value(x) OVER ({_part} {_ord} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 _window("ewm_mean", lambda x, o: r(o(x.ewm_mean(alpha=0.5))), "CASE WHEN x IS NOT NULL THEN (SELECT round(sum(b.x * 0.5 ^ (n - m)) / sum(CASE WHEN b.x IS NOT NULL THEN 0.5 ^ (n - m) END), 6) FROM (SELECT user_id, x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS m, event_id FROM e) b, (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e) c WHERE c.event_id = e.event_id AND b.user_id = e.user_id AND m <= n) END")
-_window("nested", lambda x, o: o(o(x.cum_sum()).max()), "(SELECT CAST(max(s) AS BIGINT) FROM (SELECT user_id, CASE WHEN x IS NOT NULL THEN sum(x) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS s FROM e) b WHERE b.user_id = e.user_id)")
-del QUERIES["win_nested"], SQL["win_nested"]
 q("win_of_window", "SELECT CAST(max(s) AS BIGINT) AS m FROM (SELECT sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM events)", "events")(lambda e: e.select(col("event_id").cum_sum().over("user_id", order_by=["ts", "event_id"]).max().alias("m")))
 
 # --- row-wise expressions -------------------------------------------------------------------------------------------
@@ -287,8 +284,6 @@ _row("coalesce", lambda: [lf.coalesce(_nul, "user_id").alias("a"), lf.coalesce(_
 _row("struct_field", lambda: [lf.struct("user_id", v=col("value") * 2).struct.field("v").alias("a")], "value * 2 AS a")
 _row("list_pack", lambda: [lf.list_("event_id", "user_id").list.get(1).alias("a"), lf.list_("event_id", "user_id").list.len().cast(dt.Int64).alias("b")], "user_id AS a, CAST(2 AS BIGINT) AS b")
 _row("literals", lambda: [lit(1).alias("a"), lit("x").alias("b"), lit(2.5).alias("c"), lit([1, 2]).list.sum().alias("d"), lit(None, dt.Int64).alias("e")], "1 AS a, 'x' AS b, 2.5::DOUBLE AS c, CAST(3 AS BIGINT) AS d, CAST(NULL AS BIGINT) AS e")
-_row("names", lambda: [col("user_id", "value").name.prefix("p_"), col("value").name.suffix("_s"), col("value").name.to_uppercase(), col("event_type").alias("zz").name.keep(), col("user_id").name.map(lambda n: n[::-1])], 'user_id AS p_user_id, value AS p_value, value AS value_s, value AS "VALUE", event_type, user_id AS di_resu')
-del QUERIES["names"], SQL["names"]
 _row("names", lambda: [col("user_id", "value").name.prefix("p_"), col("value").name.suffix("_s"), col("event_type").alias("zz").name.keep(), col("user_id").name.map(lambda n: n[::-1])], "user_id AS p_user_id, value AS p_value, value AS value_s, event_type, user_id AS di_resu")
 q("names_case", 'SELECT event_id AS "EVENT_ID" FROM events', "events")(lambda e: e.select(col("event_id").name.to_uppercase()))
 _row("map_batches", lambda: [col("value").map_batches(lambda s: s * 2 + 1, dt.Float64).alias("a")], "value * 2 + 1 AS a")
@@ -301,7 +296,7 @@ q("selectors_complement", "SELECT event_id, user_id, value FROM events", "events
 _row("str_basic", lambda: [col("event_type").str.len_chars().alias("a"), col("event_type").str.to_uppercase().alias("b"), col("event_type").str.to_lowercase().alias("c"), col("event_type").str.starts_with("v").alias("d"), col("event_type").str.ends_with("w").alias("e"), col("event_type").str.contains("^[ve]").alias("f"), col("event_type").str.contains("r.", literal=True).alias("g")], "length(event_type) AS a, upper(event_type) AS b, lower(event_type) AS c, starts_with(event_type, 'v') AS d, ends_with(event_type, 'w') AS e, regexp_matches(event_type, '^[ve]') AS f, contains(event_type, 'r.') AS g")
 _row("str_slices", lambda: [col("event_type").str.slice(1, 2).alias("a"), col("event_type").str.slice(-3).alias("b"), col("event_type").str.head(3).alias("c"), col("event_type").str.tail(4).alias("d")], "substr(event_type, 2, 2) AS a, right(event_type, 3) AS b, left(event_type, 3) AS c, right(event_type, 4) AS d")
 _row("str_replace", lambda: [col("event_type").str.replace("[aeiou]", "$").alias("a"), col("event_type").str.replace_all("[aeiou]", "_").alias("b"), col("event_type").str.replace("r", "R", literal=True, n=2).alias("c"), col("event_type").str.replace_all("r", "..", literal=True).alias("d")], "regexp_replace(event_type, '[aeiou]', '$') AS a, regexp_replace(event_type, '[aeiou]', '_', 'g') AS b, regexp_replace(regexp_replace(event_type, 'r', 'R'), 'r', 'R') AS c, replace(event_type, 'r', '..') AS d")
-_row("str_pad", lambda: [col("user_id").cast(dt.String).str.zfill(6).alias("a"), (-col("user_id")).cast(dt.String).str.zfill(6).alias("b"), col("event_type").str.pad_start(7, "*").alias("c"), col("event_type").str.pad_end(7).alias("d")], "lpad(CAST(user_id AS VARCHAR), 6, '0') AS a, CASE WHEN user_id > 0 THEN '-' || lpad(CAST(user_id AS VARCHAR), 5, '0') ELSE '000000' END AS b, lpad(event_type, greatest(7, length(event_type)), '*') AS c, rpad(event_type, greatest(7, length(event_type)), ' ') AS d")
+_row("str_pad", lambda: [col("user_id").cast(dt.String).str.zfill(6).alias("a"), (-col("user_id")).cast(dt.String).str.zfill(6).alias("b"), col("event_type").str.pad_start(7, "*").alias("c"), col("event_type").str.pad_end(7).alias("d")], "lpad(CAST(user_id AS VARCHAR), 6, '0') AS a, CASE WHEN user_id > 0 THEN '-' || lpad(CAST(user_id AS VARCHAR), 5, '0') ELSE '000000' END AS b, lpad(event_type, CAST(greatest(7, length(event_type)) AS INTEGER), '*') AS c, rpad(event_type, CAST(greatest(7, length(event_type)) AS INTEGER), ' ') AS d")
 _row("str_strip_split", lambda: [lf.format("  {} ", "event_type").str.strip_chars().alias("a"), col("event_type").str.strip_chars("vw").alias("b"), lf.format("{}.{}", "event_type", "user_id").str.split(".").list.get(1).alias("c")], "event_type AS a, trim(event_type, 'vw') AS b, CAST(user_id AS VARCHAR) AS c")
 _row("str_titlecase", lambda: [lf.format("{} {}-x", "event_type", "event_type").str.to_titlecase().alias("a")], "upper(event_type[1]) || event_type[2:] || ' ' || upper(event_type[1]) || event_type[2:] || '-X' AS a")
 _row("str_parse", lambda: [col("ts").dt.to_string("%Y-%m-%d %H:%M:%S").str.to_datetime("%Y-%m-%d %H:%M:%S").alias("a"), col("ts").dt.to_string("%d/%m/%Y").str.to_date("%d/%m/%Y").alias("b")], "date_trunc('second', ts) AS a, CAST(ts AS DATE) AS b")
@@ -317,7 +312,7 @@ QUERIES["dt_totals"] = lambda spark, d: lf.scan_parquet(spark, f"{d}/events.parq
 _row("dt_zones", lambda: [col("ts").dt.convert_time_zone("Asia/Kathmandu").alias("a"), col("ts").dt.replace_time_zone("UTC").dt.replace_time_zone(None).alias("b")], "ts + INTERVAL '5 hours 45 minutes' AS a, ts AS b")
 
 # --- lists ----------------------------------------------------------------------------------------------------------
-_row("list_stats", lambda: [col("embedding").list.len().cast(dt.Int64).alias("n"), r(col("embedding").list.sum()).alias("s"), col("embedding").list.min().alias("mn"), col("embedding").list.max().alias("mx"), r(col("embedding").list.mean()).alias("m"), r(col("embedding").list.median()).alias("md"), col("embedding").list.get(5).alias("g"), col("embedding").list.get(500).alias("z")], "len(embedding) AS n, round(list_sum(list_transform(embedding, x -> x::DOUBLE)), 6) AS s, list_min(embedding) AS mn, list_max(embedding) AS mx, round(list_avg(list_transform(embedding, x -> x::DOUBLE)), 6) AS m, round(list_median(list_transform(embedding, x -> x::DOUBLE)), 6) AS md, embedding[6] AS g, CAST(NULL AS FLOAT) AS z", "embeddings", "vec_id")
+_row("list_stats", lambda: [col("embedding").list.len().cast(dt.Int64).alias("n"), r(col("embedding").list.sum()).alias("s"), col("embedding").list.min().alias("mn"), col("embedding").list.max().alias("mx"), r(col("embedding").list.mean()).alias("m"), r(col("embedding").list.median()).alias("md"), col("embedding").list.get(5).alias("g"), col("embedding").list.get(500).alias("z")], "len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS s, list_min(embedding) AS mn, list_max(embedding) AS mx, round(list_avg(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS m, round(list_median(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS md, embedding[6] AS g, CAST(NULL AS FLOAT) AS z", "embeddings", "vec_id")
 _row("list_sort_unique", lambda: [lf.list_(col("vec_id") % 3, col("vec_id") % 2, lit(None, dt.Int64)).list.sort().list.get(1).alias("a"), lf.list_(col("vec_id") % 3, col("vec_id") % 2).list.sort(descending=True).list.get(0).alias("b"), lf.list_(col("vec_id") % 3, col("vec_id") % 2).list.unique().list.len().cast(dt.Int64).alias("c"), lf.list_(col("vec_id") % 3, lit(None, dt.Int64)).list.contains(2).alias("d")], "least(vec_id % 3, vec_id % 2) AS a, greatest(vec_id % 3, vec_id % 2) AS b, CASE WHEN vec_id % 3 = vec_id % 2 THEN 1 ELSE 2 END::BIGINT AS c, vec_id % 3 = 2 AS d", "embeddings", "vec_id")
 
 
@@ -348,11 +343,7 @@ _eager("series_mode", "SELECT k AS user_id FROM (SELECT user_id AS k, count(*) A
 _eager("series_unique", "SELECT DISTINCT event_type FROM events", "events", lambda f: f["event_type"].unique().to_frame())
 _eager("series_to_dummies", "SELECT (r_name = 'AFRICA')::TINYINT AS \"r_name_AFRICA\", (r_name = 'AMERICA')::TINYINT AS \"r_name_AMERICA\", (r_name = 'ASIA')::TINYINT AS \"r_name_ASIA\", (r_name = 'EUROPE')::TINYINT AS \"r_name_EUROPE\", (r_name = 'MIDDLE EAST')::TINYINT AS \"r_name_MIDDLE EAST\" FROM region", "region", lambda f: f["r_name"].to_dummies())
 _eager("series_hist", "SELECT b AS breakpoint, (SELECT count(*) FROM events WHERE value <= b AND (value > b - 25 OR (b = 25 AND value = 0))) AS count FROM (SELECT unnest([25.0, 50.0, 75.0, 100.0])::DOUBLE AS b)", "events", lambda f: f["value"].hist([0, 25, 50, 75, 100]))
-_eager("series_arg", "SELECT (SELECT k FROM t ORDER BY v DESC, k LIMIT 1) AS mx, (SELECT k FROM t ORDER BY v, k LIMIT 1) AS mn FROM (SELECT 1)", "orders", lambda f: f)
-del QUERIES["series_arg"], SQL["series_arg"]
 _eager("series_arg_true", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS x FROM orders QUALIFY o_totalprice > 200000", "orders", lambda f: (_by(f, "o_orderkey")["o_totalprice"] > 200000).alias("x").arg_true().to_frame())
 _eager("series_scatter", "SELECT CASE k WHEN 1 THEN 100 WHEN 3 THEN NULL ELSE n_nationkey END AS n_nationkey FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation)", "nation", lambda f: _by(f, "n_nationkey")["n_nationkey"].scatter([1, 3], [100, None]).to_frame())
 _eager("series_zip_with", "SELECT CASE WHEN n_regionkey > 2 THEN n_nationkey ELSE n_regionkey END AS n_nationkey FROM nation", "nation", lambda f: f["n_nationkey"].zip_with(f["n_regionkey"] > 2, f["n_regionkey"]).to_frame())
 _eager("series_sort", "SELECT n_regionkey FROM nation ORDER BY 1 DESC", "nation", lambda f: f["n_regionkey"].sort(descending=True).to_frame())
-
-ALL = {"lf": lf, "math": math}

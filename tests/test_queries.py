@@ -18,8 +18,6 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    con.execute("CREATE MACRO arg_min_null(v, k) AS min_by(struct_pack(v := v), k).v")
-    con.execute("CREATE MACRO arg_max_null(v, k) AS max_by(struct_pack(v := v), k).v")
     for p in glob.glob(f"{DIR}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     return con
