@@ -347,3 +347,31 @@ _eager("series_arg_true", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS
 _eager("series_scatter", "SELECT CASE k WHEN 1 THEN 100 WHEN 3 THEN NULL ELSE n_nationkey END AS n_nationkey FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation)", "nation", lambda f: _by(f, "n_nationkey")["n_nationkey"].scatter([1, 3], [100, None]).to_frame())
 _eager("series_zip_with", "SELECT CASE WHEN n_regionkey > 2 THEN n_nationkey ELSE n_regionkey END AS n_nationkey FROM nation", "nation", lambda f: f["n_nationkey"].zip_with(f["n_regionkey"] > 2, f["n_regionkey"]).to_frame())
 _eager("series_sort", "SELECT n_regionkey FROM nation ORDER BY 1 DESC", "nation", lambda f: f["n_regionkey"].sort(descending=True).to_frame())
+
+
+# --- in-memory sources ----------------------------------------------------------------------------------------------
+def _source(name: str, make: Callable[[Any], Any], sql: str) -> None:
+    QUERIES[f"source_{name}"] = lambda spark, _: make(spark).to_native()
+    SQL[f"source_{name}"] = sql
+
+
+def _numpy(spark: Any) -> Any:
+    import numpy as np
+
+    return lf.from_numpy(spark, np.arange(6.0).reshape(3, 2), ["a", "b"])
+
+
+def _arrow(spark: Any) -> Any:
+    import pyarrow as pa
+
+    return lf.from_arrow(spark, pa.table({"a": [1, None], "b": ["x", "y"]}))
+
+
+_source("from_dict", lambda s: lf.from_dict(s, {"a": [1, 2, None], "b": ["x", None, "z"]}), "SELECT * FROM (VALUES (1, 'x'), (2, NULL), (NULL, 'z')) t(a, b)")
+_source("from_dicts", lambda s: lf.from_dicts(s, [{"a": 1, "b": 2.5}, {"a": 3}]), "SELECT * FROM (VALUES (1, 2.5::DOUBLE), (3, NULL)) t(a, b)")
+_source("from_numpy", _numpy, "SELECT * FROM (VALUES (0.0::DOUBLE, 1.0::DOUBLE), (2.0, 3.0), (4.0, 5.0)) t(a, b)")
+_source("from_arrow", _arrow, "SELECT * FROM (VALUES (1, 'x'), (NULL, 'y')) t(a, b)")
+_source("new_series", lambda s: lf.new_series(s, "a", [3, 1, 2], dt.Int32).to_frame(), "SELECT * FROM (VALUES (3), (1), (2)) t(a)")
+q("source_scan_parquet", "SELECT * FROM region", "region")(lambda g: g)
+q("frame_lazy_collect", "SELECT * FROM nation", "nation")(lambda n: n.collect().lazy())
+q("win_unpartitioned", "SELECT n_nationkey, sum(n_regionkey) OVER (ORDER BY n_nationkey) AS s FROM nation", "nation")(lambda n: n.select("n_nationkey", col("n_regionkey").cum_sum().over(order_by="n_nationkey").alias("s")))
