@@ -21,6 +21,31 @@ class DataFrame(LazyFrame):
     def __init__(self, native: SparkFrame):
         super().__init__(native if ROW in native.columns else native.withColumn(ROW, F.monotonically_increasing_id()))
 
+    # --- in: see loomframe.sources ---
+    @staticmethod
+    def from_arrow(spark: Any, table: Any) -> DataFrame:
+        from .. import sources
+
+        return sources.from_arrow(spark, table)
+
+    @staticmethod
+    def from_dict(spark: Any, data: Any, schema: Any = None) -> DataFrame:
+        from .. import sources
+
+        return sources.from_dict(spark, data, schema)
+
+    @staticmethod
+    def from_dicts(spark: Any, data: Any, schema: Any = None) -> DataFrame:
+        from .. import sources
+
+        return sources.from_dicts(spark, data, schema)
+
+    @staticmethod
+    def from_numpy(spark: Any, data: Any, schema: Any = None) -> DataFrame:
+        from .. import sources
+
+        return sources.from_numpy(spark, data, schema)
+
     def _ordered(self) -> SparkFrame:
         return self._df.orderBy(ROW).drop(ROW)
 
