@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Text bytes that one step works on; bounds the memory of a Python worker (a longer single text is a step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240517))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
