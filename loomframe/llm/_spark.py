@@ -57,8 +57,20 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+_folders: dict[str, str] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path in this application's folder of the shared storage; the folder goes when the driver ends."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _folders:
+        folder = f"{shared_dir(spark)}/loomframe-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _folders[sc.applicationId] = folder
+    return f"{_folders[sc.applicationId]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import stash, tune
-from ._text import SOLID, Words, buffer, inside, mix, shingles, slices
+from ._text import SOLID, Words, buffer, mix, shingles, slices
 from .components import components
 
 U64 = np.uint64

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import new_path, stash, tune
+from ._spark import new_path, tune
 from ._text import mix
 from ._tokens import Encoder
 
@@ -50,7 +50,12 @@ def _write(path: str, parts: Iterator[bytes]) -> None:
     with fs.open_output_stream(own) as f:
         for x in parts:
             f.write(x)
-    fs.move(own, p)
+    try:
+        fs.move(own, p)
+    except OSError:  # another attempt of the task was first: its file has the same bytes
+        if fs.get_file_info(p).type != pafs.FileType.File:
+            raise
+        fs.delete_file(own)
 
 
 def _read(path: str) -> bytes:
@@ -310,4 +315,3 @@ def expand(found: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
     return once.unionByName(records.join(more, key, "left_semi").select(key, "shard", "offset", "length"))
 
 
-__all__ = ["Bucket", "PerfectHash", "bucket_bytes", "expand", "lookup", "read", "stash", "write"]
