@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from . import dtypes as dt
 from .errors import InvalidOperationError
 from .plans import numeric as N
-from .plans.lower import Agg, Context, column, has_window, lower, one, ref, window
+from .plans.lower import Agg, Context, column, has_window, window
 
 _NONE = object()
 
@@ -548,4 +548,4 @@ def into(x: Any, *, name: bool = False) -> Expr:
     return col(x) if name and isinstance(x, str) else lit(x)
 
 
-__all__ = ["Expr", "col", "flat", "into", "lit", "lower", "one", "ref"]
+__all__ = ["Expr", "col", "flat", "into", "lit"]

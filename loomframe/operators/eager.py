@@ -10,7 +10,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import dtypes as dt
 from ..errors import ColumnNotFoundError, InvalidOperationError, ShapeError
 from ..expr import Expr, col, flat, into
 from ..plans.lower import ref, temp_name
@@ -462,4 +461,4 @@ class _Accessor:
         return lambda *a, **k: self._s._do(getattr(self._a, what)(*a, **k))
 
 
-__all__ = ["DataFrame", "Series", "dt"]
+__all__ = ["DataFrame", "Series"]

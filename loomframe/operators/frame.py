@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dtypes as dt
-from ..errors import ColumnNotFoundError, DuplicateError, InvalidOperationError, ShapeError
+from ..errors import ColumnNotFoundError, DuplicateError, InvalidOperationError
 from ..expr import Expr, col, flat, into
 from ..plans.lower import Context, Named, has_window, lower, ref, temp_name
 
@@ -404,4 +404,4 @@ def _horizontal(frames: list[Any]) -> Any:
     return frames[0]._new(out.withColumnRenamed(at, ROW))
 
 
-__all__ = ["GroupBy", "LazyFrame", "ROW", "ShapeError", "concat", "numbered"]
+__all__ = ["GroupBy", "LazyFrame", "ROW", "concat", "numbered"]
