@@ -22,8 +22,8 @@ def plain(name):
 
 
 @pytest.mark.parametrize("name", FILES)
-@settings(max_examples=300, deadline=None)
-@given(text=st.lists(st.sampled_from([*" \n\t.,'!_aAéß½²1٣日́\u0085 \x1c\x00<|>", "<|endoftext|>", "'s", " the"]), max_size=40).map("".join))
+@settings(max_examples=150, deadline=None)
+@given(text=st.lists(st.sampled_from([*" \n\t.,'!_aAéß½²1٣日́\u0085 \x1c\x00<|>", "<|endoftext|>", "'s", " the", "İ", " ǅa", "한", "क़", ".", ","]), max_size=40).map("".join))
 def test_same_ids_as_whole_texts(name, text):
     e = Encoder.of(public_tokenizers.path(name), 2)
     assert np.frombuffer(e.ids([text])[0], "<u4").tolist() == plain(name)(text)
