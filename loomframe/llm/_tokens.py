@@ -13,7 +13,7 @@ from array import array
 
 import numpy as np
 
-#: Pieces that one worker remembers, and the longest of them in characters; more start a new memory.
+#: Pieces that one worker remembers (about 400 bytes each, twice as many at most) and the longest of them in characters.
 MEMORY, LONGEST = 300_000, 48
 _CUT = "\x00"
 #: A text with one of these isn't cut: runs of blanks, and blanks other than a single space or line break.
@@ -48,8 +48,9 @@ class Encoder:
 
     _made: dict[tuple, Encoder] = {}
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.memory = memory
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path)
@@ -66,9 +67,12 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str, end_id: int) -> Encoder:
+    def of(cls, path: str, end_id: int, memory: int = MEMORY) -> Encoder:
         """One encoder for each worker process."""
-        return cls._made.setdefault((path, end_id), None) or cls._made.update({(path, end_id): (e := cls(path, end_id))}) or e
+        key = (path, end_id, memory)
+        if key not in cls._made:
+            cls._made[key] = cls(*key)
+        return cls._made[key]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.encode.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,7 +104,7 @@ class Encoder:
         if self.pieces is None:
             return [x + self.end for x in self._plain(texts)]
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > MEMORY:  # pieces that recur come back from the older half
+        if len(self.known) > self.memory:  # pieces that recur come back from the older half
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
         new = set().union(*cut).difference(known)

@@ -35,17 +35,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import stash, tune
-from ._tokens import Encoder
+from ._tokens import MEMORY, Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 2, size: int = 1024, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 2, size: int = 1024, keep_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """Pieces of at most `size` ids with their place in the document; only the first piece of a longer document is shorter. rank: number among the task's pieces of the same length."""
     tune(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, seen = Encoder.of(tokenizer, end_id), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        enc, task, seen = Encoder.of(tokenizer, end_id, memory), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
@@ -195,10 +195,10 @@ def _places(made: Plan, size: int) -> dict[int, tuple[np.ndarray, ...]]:
     return {s: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for s, r in runs.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, size: int = 1024, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, size: int = 1024, keep_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if kept)."""
     spark = docs.sparkSession
-    cut = stash(pieces(docs, tokenizer, end_id=end_id, size=size, keep_ids=keep_ids), "pieces")
+    cut = stash(pieces(docs, tokenizer, end_id=end_id, size=size, keep_ids=keep_ids, memory=memory), "pieces")
     counts = stash(cut.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     hist = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(_places(plan(hist, size), size))

@@ -18,7 +18,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = token_index.write(docs, public_tokenizers.path("word_bpe_49k.json"))
+    path = token_index.write(docs, public_tokenizers.path("word_bpe_49k.json"), memory=REMEMBERED)
     found = token_index.lookup(spark, path, docs.select("doc_id").distinct())
     return token_index.read(spark, path, token_index.expand(found, path))
 
@@ -36,9 +36,11 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), memory=REMEMBERED)
 
 
+#: Pieces of text that a worker of the tokenizing queries remembers; nothing else runs in it, so there is room.
+REMEMBERED = 600_000
 #: The queries' key; a corpus that is given away needs a secret one.
 SURROGATE_KEY = b"loomframe public demonstration key"
 

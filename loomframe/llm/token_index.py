@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._spark import new_path, tune
 from ._text import mix
-from ._tokens import Encoder
+from ._tokens import MEMORY, Encoder
 
 BUCKET = 100_000
 _CHECK = 256
@@ -174,7 +174,7 @@ class Bucket:
 # --- writing and reading -------------------------------------------------------------------------------------
 
 
-def write(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int = 2, width: int = 2, path: str | None = None) -> str:
+def write(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int = 2, width: int = 2, path: str | None = None, memory: int = MEMORY) -> str:
     """Write shards and index; returns the folder. width: bytes of an id (2 up to 65,536 ids, else 4)."""
     spark = docs.sparkSession
     tune(spark)
@@ -182,7 +182,7 @@ def write(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int =
     dtype = {2: "<u2", 4: "<u4"}[width]
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, me = Encoder.of(tokenizer, end_id), TaskContext.get().partitionId()
+        enc, me = Encoder.of(tokenizer, end_id, memory), TaskContext.get().partitionId()
         rows: list[tuple] = []
         size = 0
 
