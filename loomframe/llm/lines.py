@@ -4,8 +4,9 @@ A line is parsed as its words between blanks, lower-cased; a word with a digit i
 level is the number of words, the next DEPTH levels are the leading words; in a leaf, a line belongs to the template
 of all its words and to four templates in which one quarter of the words after the leading ones is variable too
 (lines of GENERAL words or more). So lines that differ in numbers, names or a phrase share a template, and no order
-of arrival decides. A template found in `min_docs` documents or more is recurring; its lines are dropped from all
-documents but the one with the smallest doc_id. Lines of fewer than `min_words` words are left alone.
+of arrival decides. A template found in `min_docs` documents or more is recurring, and so is that of all words of a
+line of `long_words` words or more (if given) from two documents on; its lines are dropped from all documents but the one with the
+smallest doc_id. Lines of fewer than `min_words` words are left alone.
 
 All templates of a batch come from prefix sums over word hashes. Templates are counted over all documents (combined
 before the shuffle). Recurring ones are broadcast while they are at most `broadcast_rows`; beyond that, lines join
@@ -31,13 +32,15 @@ from ._text import SOLID, Words, _power, buffer, mix, slices
 U64 = np.uint64
 DEPTH = 3
 GENERAL = 8
+#: The queries' `long_words`.
+LONG = 50
 NO_ID = 2**63 - 1
 _VARIABLE = U64(0x6A09E667F3BCC909)
 _MARKS = [U64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, 6)]
 
 
-def _templates(part: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template, line) pairs; text of each line; byte span of each line."""
+def _templates(part: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template, line) pairs; text of each line; byte span of each line; words of each pair's line, 0 in general templates."""
     data, offs = buffer(part.column("text"))
     w = Words(data, offs, SOLID)
     h = w.hashes()
@@ -60,42 +63,45 @@ def _templates(part: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.nda
     seal = lambda total, at, k: mix(total * inv[a[at]] + n[at].astype(U64) * _MARKS[4] + (_MARKS[k - 1] if k else U64(0)))
     keys.append(seal(c[b[line]] - c[a[line]], line, 0))
     lines.append(line)
+    words = n[line]
     line = np.flatnonzero(n >= max(min_words, GENERAL))
     for k in range(4):
         rest = n[line] - DEPTH
         lo, hi = a[line] + DEPTH + rest * k // 4, a[line] + DEPTH + rest * (k + 1) // 4
         keys.append(seal(c[b[line]] - c[a[line]] - (c[hi] - c[lo]), line, k + 1))
         lines.append(line)
-    return np.concatenate(keys), np.concatenate(lines), text, begin, stop
+    return np.concatenate(keys), np.concatenate(lines), text, begin, stop, np.concatenate((words, np.zeros(4 * len(line), words.dtype)))
 
 
-def recurring(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5) -> DataFrame:
-    """(template, n, first): templates of `min_docs` documents or more, and their smallest doc_id."""
+def recurring(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5, long_words: int | None = None) -> DataFrame:
+    """(template, n, first): recurring templates, their number of documents and smallest doc_id."""
     tune(docs.sparkSession)
+    least = long_words or NO_ID
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                key, line, text, *_ = _templates(part, min_words)
+                key, line, text, _, _, words = _templates(part, min_words)
                 if not len(key):
                     continue
                 doc = text[line]
                 o = np.lexsort((doc, key))
-                key, doc = key[o], doc[o]
+                key, doc, words = key[o], doc[o], words[o]
                 new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-                key, ids = key[new], part.column("d").to_numpy()[doc[new]]
+                key, ids, words = key[new], part.column("d").to_numpy()[doc[new]], words[new]
                 at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 n = np.diff(np.concatenate((at, [len(key)])))
-                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(n), pa.array(np.minimum.reduceat(ids, at))], ["template", "n", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(n), pa.array(np.minimum.reduceat(ids, at)), pa.array(words[at] >= least)], ["template", "n", "d", "long"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "text").mapInArrow(count, "template long, n long, d long")
-    return rows.groupBy("template").agg(F.sum("n").alias("n"), F.min("d").alias("first")).where(F.col("n") >= min_docs)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "text").mapInArrow(count, "template long, n long, d long, long boolean")
+    found = rows.groupBy("template").agg(F.sum("n").alias("n"), F.min("d").alias("first"), F.max("long").alias("long"))
+    return found.where((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= 2))).drop("long")
 
 
-def drop_lines(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5, keep: tuple[str, ...] = ("doc_id",), broadcast_rows: int = 2_000_000) -> DataFrame:
+def drop_lines(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5, long_words: int | None = None, keep: tuple[str, ...] = ("doc_id",), broadcast_rows: int = 2_000_000) -> DataFrame:
     """Per document: the columns `keep`, text with the recurring lines dropped, n_lines, n_dropped."""
     spark = docs.sparkSession
-    found = stash(recurring(docs, min_docs=min_docs, min_words=min_words).select("template", "first"), "templates")
+    found = stash(recurring(docs, min_docs=min_docs, min_words=min_words, long_words=long_words).select("template", "first"), "templates")
     names = [c for c in keep if c != "text"]
     rows = docs.select(*names, "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"))
     out = [*(rows.schema[c] for c in names), rows.schema["text"]]
@@ -126,7 +132,7 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5, keep:
             known, keeper, bits = shared.value
             for batch in batches:
                 for part in slices(batch):
-                    key, line, text, begin, stop = _templates(part, min_words)
+                    key, line, text, begin, stop, _ = _templates(part, min_words)
                     may = bits[key >> U64(42)]
                     key, line = key[may], line[may]
                     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
@@ -153,7 +159,7 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5, keep:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                _, _, text, begin, stop = _templates(part, min_words)
+                _, _, text, begin, stop, _ = _templates(part, min_words)
                 first, gone = np.searchsorted(text, np.arange(part.num_rows)), np.zeros(len(text), bool)
                 for i, x in enumerate(part.column("_gone").to_pylist()):
                     gone[[int(first[i]) + k for k in x or ()]] = True

@@ -28,7 +28,7 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drop_lines(table(spark, sf_dir, "documents"))
+    return lines.drop_lines(table(spark, sf_dir, "documents"), long_words=lines.LONG)
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

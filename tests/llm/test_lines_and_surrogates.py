@@ -1,9 +1,10 @@
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 from helpers import DOCS, awkward, frame, real
 
-from loomframe.llm import lines, surrogates
+from loomframe.llm import lines, queries, surrogates
 
 KEY = b"test key"
 WORD = re.compile(b"[^\x20\x09-\x0d]+")
@@ -50,6 +51,17 @@ def test_lines(spark):
             assert sorted((tuple(r) for r in lines.drop_lines(docs, broadcast_rows=rows).collect()), key=str) == want
 
 
+def test_long_lines_recur_from_two_documents_on(spark, tmp_path):
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)]
+    long, short, other, like = (" ".join(x) for x in (words[:50], words[1:50], words[5:60], [*words[5:30], "else", *words[31:60]]))
+    docs = frame(spark, [(i, t, None, None, 1) for i, t in enumerate(["a\n" + long, "b\n" + long.upper(), other, "c\n" + short, "d\n" + short, like])])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(0, "a\n" + long), (1, "b"), (2, other), (3, "c\n" + short), (4, "d\n" + short), (5, like)]
+    made = [lines.drop_lines(docs, long_words=lines.LONG, broadcast_rows=rows) for rows in (10**6, 0)]
+    for out in (*made, queries.op6_lines(spark, str(tmp_path)), corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path))):
+        assert sorted(tuple(r) for r in out.select("doc_id", "text").collect()) == want
+
+
 PII = [
     "Mr. John Smith wrote to ann.lee@mail.example.org, Smith said.",
     "call +1 (705) 555-5569 or 555-123-4567; ip 10.0.0.255, card 4111 1111 1111 1111 and 5500000000000004.",
