@@ -12,10 +12,10 @@ nodes link when 100 * intersection >= percent * union. Steps, all on tables:
 3. Groups. Each prefix shingle has a pivot, the node whose prefix is the most common; every node is verified against
    the best pivot among its shingles', and the components of these links are the groups of similar documents:
    thousands of near copies are one group after as many verifications.
-4. Token-group matrix. A row per shingle and group (the groups' unions), with the range of set sizes in the group. A
-   node's overlap with a larger group is bounded by the prefix shingles they share and what stands behind the last of
-   them; only groups that reach DEPTH shingles, the size range and the overlap that a link needs are opened, and of an
-   opened group only the members are verified that pass the same bounds one by one.
+4. Token-group matrix. A row per shingle and group (the groups' unions), with the ranges of set sizes and places in
+   the group. Only groups are opened that share DEPTH shingles with a node, each where some member could stand at such
+   places and in the size range that a link needs. What stands behind the last shared shingle bounds an overlap with
+   one node only, so this is asked of lone nodes and of an opened group's members, one by one.
 5. Verification compares whole sets. A pivot's partners are split into chunks, the pivot's text going to each.
    Components over all links give the result; pairs inside a group aren't listed, as its members are linked already.
 
@@ -268,15 +268,17 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
         """Sets of n and m that link share DEPTH shingles at such places of n's order; any bound holds by these alone."""
         return pos <= n - overlap(n, m) + DEPTH
 
-    def able(rows: DataFrame, lo: Column) -> DataFrame:
-        """Rows of nodes that can still link with one of the nodes they share shingles with; lo: the smallest of these."""
-        bound = rows.withColumn("lo", F.greatest(lo, F.ceil(n * percent / 100))).groupBy("node", "n").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("last"), F.min("lo").alias("lo"))
-        bound = bound.where((F.col("c") >= least) & (F.col("c") + n - F.col("last") >= overlap(n, F.col("lo"))))
-        return rows.join(bound.select("node"), "node", "left_semi")
+    smallest = F.greatest(F.col("lo"), F.ceil(n * percent / 100))
+
+    def able(rows: DataFrame) -> DataFrame:
+        """Rows at places where a link with one of the shingle's nodes can have them, of nodes with enough; lo: the smallest of these nodes."""
+        rows = rows.where(within(F.col("pos"), n, smallest))
+        enough = rows.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+        return rows.join(enough.select("node"), "node", "left_semi")
 
     posts = docs.select("text").mapInArrow(prefixes, "token long, node long, n int, pos int")
     posts = stash(posts.withColumn("df", F.count(F.lit(1)).over(by)).withColumn("lo", F.min("n").over(by)).where("df > 1"), "prefixes")
-    posts = able(posts, F.col("lo")).drop("df", "lo")
+    posts = able(posts).drop("df", "lo")
     posts = stash(posts.withColumn("df", F.count(F.lit(1)).over(by)).where("df > 1"), "shared")
 
     # Pivots: a text that others were made from has few shingles of its own, so common ones fill its prefix.
@@ -294,16 +296,18 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
     mine = mine.select("token", "node", "n", "pos", F.struct(F.coalesce("s", F.lit(1)).alias("s"), F.coalesce("comp", "node").alias("id")).alias("g"))
     for k in range(2):  # shingles in more than one group, of nodes that can link beyond their own
         mixed = mine.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("n").alias("lo")).where("g0 <> g1").select("token", "lo")
-        mine = stash(able(mine.join(mixed, "token"), F.col("lo")).drop("lo"), f"mixed{k}")
-    matrix = mine.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        mine = stash(able(mine.join(mixed, "token")).drop("lo"), f"mixed{k}")
+    matrix = mine.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("pos").alias("far"), F.max(n - F.col("pos")).alias("rest"))
 
-    # Each pair of groups is met once, from the smaller group's nodes. What an overlap can be at most: the shared
-    # prefix shingles and all that stands behind the last of them.
-    smallest = F.greatest(F.col("lo"), F.ceil(n * percent / 100))
+    # Each pair of groups is met once, from the smaller group's nodes. A row's bounds hold for whichever member shares
+    # it; the last shared shingle may be another member's, so it bounds overlaps with groups of one node alone.
     in_range = (100 * F.col("hi") >= percent * n) & (percent * F.col("lo") <= 100 * n)
-    met = mine.join(matrix, "token").where((F.col("g") < F.col("h")) & in_range)
-    met = met.groupBy("node", "n", "h").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("last"), F.min("lo").alias("lo"))
-    opened = stash(met.where((F.col("c") >= least) & (F.col("c") + n - F.col("last") >= overlap(n, smallest))).select("node", "h"), "opened")
+    placed = within(F.col("pos"), n, smallest) & (F.col("rest") + DEPTH >= overlap(n, smallest))
+    placed = placed & (F.least(F.col("pos"), F.col("far")) + F.least(n - F.col("pos"), F.col("rest")) >= overlap(n, smallest))
+    met = mine.join(matrix, "token").where((F.col("g") < F.col("h")) & in_range & placed)
+    met = met.groupBy("node", "n", "h").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("last"), F.min("lo").alias("lo"), F.min("rest").alias("rest"))
+    behind = F.col("c") + F.least(n - F.col("last"), F.col("rest")) >= overlap(n, F.col("lo"))
+    opened = stash(met.where((F.col("c") >= least) & ((F.col("h.s") > 1) | behind)).select("node", "h"), "opened")
     member = mine.select("token", F.col("node").alias("m"), F.col("n").alias("mn"), F.col("pos").alias("mpos"), F.col("g").alias("h"))
     near = F.least(F.col("pos"), F.col("mpos")) + F.least(n - F.col("pos"), F.col("mn") - F.col("mpos")) >= overlap(n, F.col("mn"))
     pairs = mine.join(opened, "node").join(member, ["token", "h"]).where(fits(n, F.col("mn")) & within(F.col("pos"), n, F.col("mn")) & within(F.col("mpos"), F.col("mn"), n) & near)

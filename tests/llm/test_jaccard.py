@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 from helpers import DOCS, awkward, frame, real
 
 from loomframe.llm import jaccard as op
@@ -79,6 +80,31 @@ def test_made(spark):
     check(spark, frame(spark, rows), broadcast_rows=0, heavy=0)
 
 
+def test_last_shared_shingle_of_a_third_document(spark):
+    # One-word shingles, in the order of their hashes.
+    words = [f"w{i}" for i in range(400)]
+    words = [w for _, w in sorted((int(op.sets(pa.RecordBatch.from_pydict({"text": [w]}), 1)[0][0]), w) for w in words)]
+    own, t, a_own, c_own = words[:22], words[22:120], words[120:122], words[200:299]
+    texts = [[*t, *a_own], [*own, *t], [t[22], *c_own]]
+    got = {r.doc_id: r.component_id for r in op.similar(frame(spark, [(i, " ".join(x), None, None, 0) for i, x in enumerate(texts)]), size=1).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    # Samples of pools, near the limit: groups of several sets that share late shingles of their prefixes.
+    rng, rows = random.Random(3), []
+    for k in range(40):
+        pool = [f"v{k}x{i}" for i in range(130)]
+        for _ in range(6):
+            rows.append((len(rows), " ".join(rng.sample(pool, rng.randrange(108, 128))), None, None, 0))
+    sets = [set(r[1].split()) for r in rows]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if up[i] != up[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                lo, hi = sorted((up[i], up[j]))
+                up = [lo if x == hi else x for x in up]
+    for k in (4, 8):
+        assert {r.doc_id: r.component_id for r in op.similar(frame(spark, rows), size=1, heavy_min=k).collect()} == dict(enumerate(up))
+
+
 def test_awkward(spark):
     more = ["one two three.", "a", "A", "b c d e f g", "B c d e f g", "b c d e f g h", "  a "]
     check(spark, frame(spark, [*awkward(more), awkward()[11]]))
