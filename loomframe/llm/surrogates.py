@@ -55,10 +55,13 @@ _NUMBERS = (
     ("ssn", re.compile(r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)")),
 )
 _NAME = r"[^\W\d_]+(?:-[^\W\d_]+)?"
-_PERSON = re.compile(rf"\b(?:({'|'.join(x for v in ADDRESS.values() for x in v)})\.?[ ]+)?(?:({'|'.join(sorted(_GENDER, key=len, reverse=True))})\b(?:[ ]+({_NAME}))?|(?<=[ ])({_NAME}))")
+_FORMS = {a for v in ADDRESS.values() for a in v}
+_PERSON = re.compile(rf"\b((?:(?:{'|'.join(sorted(_FORMS, key=len, reverse=True))})\.?[ ]+)+)?(?:({'|'.join(sorted(_GENDER, key=len, reverse=True))})\b|(?<=[ ])({_NAME}))")
+#: A further name; an initial may have a dot.
+_FURTHER = re.compile(rf"[ ]+({_NAME})(?:(?<=[ ][^\W\d_])\.(?=[ ]))?")
 
 #: Words that a person can begin with, and a cheap pattern that finds their like: most texts have none.
-_STARTS = {*_GENDER, *(a for v in ADDRESS.values() for a in v)}
+_STARTS = {*_GENDER, *_FORMS}
 _START = re.compile(rf"[{''.join(sorted({w[0] for w in _STARTS}))}]\w+")
 
 
@@ -159,6 +162,14 @@ def given(key: bytes, name: str) -> str:
     return pool[Permutation(key, "given|" + "|".join(_GENDER[name]), len(pool))(pool.index(name))]
 
 
+def _last(key: bytes, name: str) -> str:
+    """The surrogate of a name that isn't a listed given name, nor is its surrogate: these are given()'s."""
+    name = _shaped(key, "last", name)
+    while name in _GENDER:
+        name = _shaped(key, "last", name)
+    return name
+
+
 def entities(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, surrogate), by start, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
@@ -176,13 +187,16 @@ def entities(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
                 if not any(s < m.end() and m.start() < e for s, e, *_ in found[-8:]):
                     found.append((m.start(), m.end(), kind, surrogate(key, kind, m[0])))
     names: dict[str, str] = {}
-    for m in () if _STARTS.isdisjoint(_START.findall(text)) else _PERSON.finditer(text):
-        other = m[3] or m[4]
-        named = bool(other) and other[0].isupper() and (m[2] is not None or m[1] is not None)
-        if m[2] and (m[1] or named):
-            names[m[2]] = given(key, m[2])
-        if named and other not in _GENDER:
-            names[other] = _shaped(key, "last", other)
+    m = None if _STARTS.isdisjoint(_START.findall(text)) else _PERSON.search(text)
+    while m:
+        run, end = [m[2] or m[3]], m.end()
+        if m[2] or (m[1] and m[3][0].isupper()):  # all capitalised words that follow
+            while (k := _FURTHER.match(text, end)) and k[1][0].isupper() and k[1] not in _FORMS:
+                run.append(k[1])
+                end = k.end()
+            if m[1] or len(run) > 1:
+                names.update((x, given(key, x) if x in _GENDER else _last(key, x)) for x in run)
+        m = _PERSON.search(text, end)
     if names:  # where they stand alone, too
         for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})\b", text):
             found.append((*m.span(), "person", names[m[0]]))

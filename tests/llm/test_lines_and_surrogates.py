@@ -96,6 +96,14 @@ def test_surrogates(spark):
     assert all(len(v) == 1 for v in [*out.values(), *back.values()])
 
 
+def test_names_of_more_than_two_parts():
+    texts = {"John Fitzgerald Kennedy spoke, Kennedy said.": "John Fitzgerald Kennedy Kennedy", "then Anna Maria Lopez met Maria": "Anna Maria Lopez Maria", "Prof. Dr. Hans Peter Vogel Mr Brown came": "Hans Peter Vogel Brown", "see Mary K. Ostrom today": "Mary K Ostrom", "Mrs. Stone and Peter Paul Grey met John": "Stone Peter Paul Grey"}
+    for t, want in texts.items():
+        found = surrogates.entities(t, KEY)
+        assert [t[s:e] for s, e, *_ in found] == want.split()
+        assert all(t[s:e] != new and (t[s:e] in surrogates._GENDER) == (new in surrogates._GENDER) for s, e, _, new in found)
+
+
 def test_permutations_have_no_fixed_points():
     for n in (2, 3, 10, 97, 1000):
         p = surrogates.Permutation(KEY, "t", n)
