@@ -8,8 +8,8 @@ with probability 1 - delta, no stratum loses more than alpha of its good documen
 a fixed order needs no correction within a sequence, Bonferroni corrects over strata and rules, and the union bound
 adds the rules up. Strata without enough labels reject nothing.
 
-Only counts per stratum, rule and cutoff reach the driver: `max_strata` * rules * cutoffs at most; the rarer
-strata beyond `max_strata` share one.
+Only counts per stratum, rule and cutoff reach the driver: (`max_strata` + 1) * rules * cutoffs at most;
+all strata but the `max_strata` with most labels share one.
 
 Defined results: a null text has no words and so fails the base rules; a null lang is a stratum of its own; null
 labels and labels of unknown documents are ignored, of several labels of a document the smallest holds; repeated rows
@@ -104,7 +104,11 @@ def thresholds(feats: DataFrame, labels: DataFrame, *, label: str = "quality", s
     good = feats.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("s"), *GRIDS).join(known, "doc_id", "left_semi")
     # cells[i]: does the i-th cutoff of the rule reject it? Counted in one aggregation, combined before the shuffle.
     counts = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
-    rows = [r.asDict() for r in good.groupBy("s").agg(F.count(F.lit(1)).alias("n"), *counts).orderBy(F.desc("n"), "s").limit(max_strata).collect()]
+    counts = [F.count(F.lit(1)).alias("n"), *counts]
+    rows = [r.asDict() for r in good.groupBy("s").agg(*counts).orderBy(F.desc("n"), "s").limit(max_strata).collect()]
+    if len(rows) == max_strata:
+        rest = good.where(~F.col("s").isin([r["s"] for r in rows])).agg(*counts).first().asDict()
+        rows += [rest | {"s": None}] if rest["n"] else []
     out: dict[str | None, dict[str, float]] = {None: {}}
     share, level = alpha / len(GRIDS), delta / (max(1, len(rows)) * len(GRIDS))
     for r in rows:
@@ -119,11 +123,14 @@ def thresholds(feats: DataFrame, labels: DataFrame, *, label: str = "quality", s
 
 def verdict(cuts: dict[str | None, dict[str, float]], stratum: Column) -> Column:
     """True where no accepted cutoff rejects the document."""
-    ok = F.lit(True)
+    ok, stratum = F.lit(True), F.coalesce(stratum, F.lit(""))
+    own = [s for s in cuts if s is not None]
     for rule in GRIDS:
         pairs = [(s, c[rule]) for s, c in cuts.items() if s is not None and rule in c]
-        if pairs:
-            cutoff = F.create_map(*[F.lit(v) for p in pairs for v in p])[F.coalesce(stratum, F.lit(""))]
+        shared = F.lit(cuts.get(None, {}).get(rule)).cast("double")
+        if pairs or rule in cuts.get(None, {}):
+            cutoff = F.create_map(*[F.lit(v) for p in pairs for v in p])[stratum] if pairs else F.lit(None).cast("double")
+            cutoff = F.when(stratum.isin(own), cutoff).otherwise(shared)
             ok = ok & F.coalesce(F.col(rule) <= cutoff, F.lit(True))
     return ok
 

@@ -7,6 +7,7 @@ from collections import Counter
 from helpers import DOCS, awkward, frame, real
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomframe.llm import quality, secrets
 
@@ -91,6 +92,18 @@ def test_binomial_tail(n, k, p):
     assert abs(quality.binomial_tail(n, k, p) - exact) < 1e-9
 
 
+def test_strata_beyond_the_most_labelled_share_one(spark):
+    rows = [(i, f"l{i % 80:02d}" if i < 1600 else "big", 0.0 if i < 2600 else 3.0) for i in range(2700)]
+    feats = spark.createDataFrame(rows, "doc_id long, lang string, x double").select("doc_id", "lang", *[F.col("x").alias(r) for r in quality.GRIDS])
+    cuts = quality.thresholds(feats, spark.range(2600).selectExpr("id doc_id", "1 quality"), max_strata=2)
+    assert set(cuts) == {None, "big", "l00"} and not cuts["l00"]
+    assert cuts[None] == cuts["big"] == {r: g[-1] for r, g in quality.GRIDS.items()}
+    some = spark.createDataFrame([(x, y) for x in ("l00", "l79", "big", None) for y in (0.0, 3.0)], "lang string, x double")
+    some = some.select("lang", "x", *[F.col("x").alias(r) for r in quality.GRIDS])
+    lost = {r.lang for r in some.where(~quality.verdict(cuts, F.col("lang"))).collect()}
+    assert lost == {"l79", "big", None}
+
+
 def test_judge(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(3000)
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
