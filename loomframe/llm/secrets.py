@@ -6,10 +6,11 @@ present rules, once each, whatever the number of paths that hold them; it append
 gets the findings of its blob by a join. Changing a pattern changes the rules' version, so all blobs are scanned anew.
 
 Spans: Spark's regular expression functions give no positions. `split` gives the text between matches and
-`regexp_extract_all` the matches; the running sum of their lengths gives the places, in code points.
+`regexp_extract_all` the matches; a running sum of their lengths over a blob's matches, which are rows of one task
+then, gives the places in code points.
 
 Defined results: a null text is the empty blob; a null or repeated path gets its row each; an empty table gives an
-empty result; other columns are ignored.
+empty result; rows that a ledger holds twice count once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from __future__ import annotations
 import hashlib
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import new_path
+from ._spark import new_path, stash
 
 
 class Rule(NamedTuple):
@@ -38,30 +39,21 @@ RULES = (
     Rule("hex", "([0-9a-f]{16,})", 1, 16, "[0-9a-f]{16}"),
 )
 SPAN = "array<struct<start:int,k:int,stop:int>>"
+MATCH = "array<struct<k:int,i:int,b:int,m:int,g:int>>"
 
 
 def version(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(repr([tuple(r) for r in rules]).encode()).hexdigest()[:16]
 
 
-def spans(text: Column, rule: Rule, k: int) -> Column:
-    """Array of (start, k, stop) of a rule's kept matches."""
+def matches(text: Column, rule: Rule, k: int) -> Column:
+    """Array of (k, number of the match, characters between it and the one before, its own, its group's)."""
     between = F.split(text, rule.pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     parts = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("b"), whole.alias("m"), group.alias("g"))
-    none = F.array().cast("array<struct<start:int,k:int,stop:int,n:int>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
-
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["b"])
-        stop = start + F.length(p["m"])
-        one = F.struct(start.alias("start"), F.lit(k).alias("k"), stop.alias("stop"), F.length(p["g"]).alias("n"))
-        return F.struct(stop.alias("at"), F.concat(a["found"], F.array(one)).alias("found"))
-
-    found = F.filter(F.aggregate(parts, zero, step)["found"], lambda x: x["n"] >= rule.least)
-    kept = F.transform(found, lambda x: F.struct(x["start"], x["k"], x["stop"]))
-    return F.when(text.rlike(rule.hint), kept).otherwise(F.array().cast(SPAN)).cast(SPAN)
+    lengths = F.transform(parts, lambda p, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.length(p["b"]).alias("b"), F.length(p["m"]).alias("m"), F.length(p["g"]).alias("g")))
+    return F.when(text.rlike(rule.hint), lengths).otherwise(F.array().cast(MATCH)).cast(MATCH)
 
 
 def _blob(text: Column) -> Column:
@@ -84,8 +76,13 @@ def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     for r in rules:
         hinted = hinted | F.col("t").rlike(r.hint)
     once = blobs.withColumn("t", F.when(hinted, F.col("t"))).groupBy("blob").agg(F.max("t").alias("t"))
-    found = F.array_sort(F.concat(*[spans(F.col("t"), r, k) for k, r in enumerate(rules)]))
-    once = once.select("blob", F.lit(mark).alias("rules"), F.when(F.col("t").isNotNull(), found).otherwise(F.array().cast(SPAN)).alias("found"))
+    # A blob's matches become rows beside each other: running sums over them take no time beyond sorting. The outer
+    # explode keeps the blobs without a match.
+    found = once.select("blob", F.explode_outer(F.concat(*[matches(F.col("t"), r, k) for k, r in enumerate(rules)])).alias("x")).select("blob", "x.*")
+    least = F.array(*[F.lit(r.least) for r in rules])
+    found = found.withColumn("stop", F.sum(F.col("b") + F.col("m")).over(Window.partitionBy("blob", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    kept = F.when(F.col("g") >= F.get(least, F.col("k")), F.struct((F.col("stop") - F.col("m")).alias("start"), "k", "stop"))
+    once = found.groupBy("blob").agg(F.sort_array(F.collect_list(kept)).cast(SPAN).alias("found")).select("blob", F.lit(mark).alias("rules"), "found")
     once.write.mode("append").parquet(ledger)
     return ledger
 
@@ -94,6 +91,7 @@ def findings(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, *,
     """Per path: key, blob and the spans of its blob."""
     spark = paths.sparkSession
     known = spark.read.parquet(ledger).where((F.col("rules") == version(rules)) & (F.size("found") > 0)).select("blob", "found")
+    known = stash(known.dropDuplicates(["blob"]), "found")  # scans that ran at once, or twice, left a blob's row twice
     mine = paths.select(key, _blob(F.col("text")).alias("blob"))
     return mine.join(known, "blob", "left").select(key, "blob", F.coalesce("found", F.array().cast(SPAN)).alias("found"))
 
