@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, lines, pack, quality, secrets, surrogates, token_index, toxicity
+from . import decontaminate, jaccard, langid, lines, oracles, pack, quality, secrets, surrogates, token_index, toxicity
 from ._spark import table
 
 
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
