@@ -6,12 +6,15 @@ counted (popcounts) and corrected for the false positives that the filter's fill
 (hits - n * p) / (1 - p) with p = fill ** hashes. The largest corrected count decides.
 
 n-grams are `n` bytes of the lower-cased UTF-8 text, every ASCII byte that is no letter being a blank. A language's
-set holds the n-grams found in at least `min_share` of its sampled texts. Training reads a bounded sample: about
-`per_language` distinct texts of each language, chosen by a hash of the text. Prediction is one map over all texts.
+set holds all n-grams found in at least `min_share` of its sampled texts; the filter has as many slots as the largest
+set needs (SLOTS for each of its n-grams, `bits` at least). Training reads a bounded sample: about `per_language`
+distinct texts of each language, chosen by a hash of the text. Prediction is one map over all texts.
 
-Defined results: `und` with score 0 for a null text or one without a letter; ties go to the language with more
-training texts, then the smaller name; without training rows every text is `und`; a null doc_id counts as held out;
-repeated rows are predicted each; other columns are ignored.
+A model's size is its languages times its slots, so a table with more than `max_languages` values of lang is refused.
+
+Defined results: `und` with score 0 for a null text or one without a letter; a text with letters but without a known
+n-gram has score 0, too; ties go to the language with more training texts, then the smaller name; without training
+rows every text is `und`; a null doc_id counts as held out; repeated rows are predicted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import tune
@@ -28,6 +31,8 @@ from ._text import LOWER, buffer, mix, slices
 
 U64 = np.uint64
 _ODD = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5)]
+#: Slots of the filter for an n-gram of the largest set: 16 make 1.4 % false positives with two hashes.
+SLOTS = 16
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _CLEAN = np.where(_LETTER, np.arange(256), 32).astype(np.uint8)[LOWER]
@@ -38,12 +43,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _grams(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash per n-gram, first n-gram of each text and the total); each text stands between blanks."""
+    """(hash per n-gram, first n-gram of each text and the total); n - 1 blanks before each text and after the last, so
+    that no n-gram has characters of two texts."""
     rows = len(offs) - 1
     padded = np.full(len(data) + rows * (n - 1) + n, 32, np.uint8)
-    at = np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(offs)) * (n - 1) + 1
+    at = np.arange(len(data)) + np.repeat(np.arange(rows) + 1, np.diff(offs)) * (n - 1)
     padded[at] = _CLEAN[data]
-    total = len(data) + rows * (n - 1) + 1
+    total = len(data) + rows * (n - 1)
     code = np.zeros(total, U64)
     for k in range(n):
         code |= padded[k : k + total].astype(U64) << U64(8 * k)
@@ -91,25 +97,28 @@ class Filter:
         return out
 
 
-def train(docs: DataFrame, *, n: int = 5, per_language: int = 3000, min_share: float = 0.01, bits: int = 20, hashes: int = 2, max_grams: int = 60_000) -> Filter:
+def train(docs: DataFrame, *, n: int = 5, per_language: int = 3000, min_share: float = 0.01, bits: int = 20, hashes: int = 2, max_languages: int = 4096) -> Filter:
     """Learn from text and lang of the documents that aren't held out."""
     spark = docs.sparkSession
     tune(spark)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang", F.xxhash64("text").alias("h"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: is lang a language?")
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not languages:
         return Filter([], [], bits, hashes)
     share = {x: min(1.0, per_language / sizes[x]) for x in languages}
-    limit = F.create_map(*[F.lit(v) for x in languages for v in (x, int(share[x] * (1 << 40)))])
-    sample = rows.where(F.pmod(F.col("h"), F.lit(1 << 40)) < limit[F.col("lang")])
+    limits = [(k, x, int(share[x] * (1 << 40)), float(max(2, min_share * share[x] * sizes[x]))) for k, x in enumerate(languages)]
+    limits = F.broadcast(spark.createDataFrame(limits, "k int, lang string, below long, enough double"))  # max_languages rows at most
+    sample = rows.join(limits, "lang").where(F.pmod(F.col("h"), F.lit(1 << 40)) < F.col("below")).select("text", "h", "k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, seen = {x: k for k, x in enumerate(languages)}, set()
+        seen = set()
         for batch in batches:
             for part in slices(batch):
                 keep = []
-                for i, key in enumerate(zip(part.column("h").to_pylist(), part.column("lang").to_pylist(), strict=True)):
+                for i, key in enumerate(zip(part.column("h").to_pylist(), part.column("k").to_pylist(), strict=True)):
                     if key not in seen:
                         seen.add(key)
                         keep.append(i)
@@ -117,19 +126,20 @@ def train(docs: DataFrame, *, n: int = 5, per_language: int = 3000, min_share: f
                     continue
                 part = part.take(pa.array(keep))
                 g, first = _grams(*buffer(part.column("text")), n)
-                lang = np.array([number[x] for x in part.column("lang").to_pylist()])
+                lang = part.column("k").to_numpy()
                 each = [np.unique(g[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 for k in np.unique(lang):
                     grams, times = np.unique(np.concatenate([e for e, x in zip(each, lang, strict=True) if x == k]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), pa.array(grams.view(np.int64)), pa.array(times)], ["k", "g", "n"])
 
-    least = {k: max(2, min_share * share[x] * sizes[x]) for k, x in enumerate(languages)}
-    enough = F.create_map(*[F.lit(v) for k, x in least.items() for v in (k, float(x))])
-    found = sample.mapInArrow(count, "k int, g long, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= enough[F.col("k")])
-    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "g"))  # a language's n-grams are bounded by its sample
-    kept = found.withColumn("r", rank).where(F.col("r") <= max_grams).select("k", "g").toArrow()
+    found = sample.mapInArrow(count, "k int, g long, n long").groupBy("k", "g").agg(F.sum("n").alias("n"))
+    # Bounded by the sample: an n-gram that is kept is in 1 of 1 / min_share of a language's sampled texts.
+    kept = found.join(limits.select("k", "enough"), "k").where(F.col("n") >= F.col("enough")).select("k", "g").toArrow()
     k, g = (kept.column(c).to_numpy() for c in ("k", "g"))
-    return Filter(languages, [g[k == i].view(U64) for i in range(len(languages))], bits, hashes)
+    o = np.argsort(k, kind="stable")
+    cuts = np.searchsorted(k[o], np.arange(len(languages) + 1))
+    grams = [g[o[a:b]].view(U64) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return Filter(languages, grams, max(bits, int(SLOTS * max(map(len, grams)) - 1).bit_length()), hashes)
 
 
 def predict(docs: DataFrame, model: Filter, *, n: int = 5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
