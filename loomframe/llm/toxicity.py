@@ -2,9 +2,10 @@
 
 Features of a text are the distinct hashes (`2**bits` buckets) of its words, pairs of neighbours and pairs with one
 word between, each with the value scale / sqrt(1 + 3 * words); those of fewer than `min_docs` sampled texts are left
-out. Training reads a bounded sample of labelled rows (`per_class` of each label, by a hash), as one pass
-after another of FTRL-proximal: per-coordinate rates, and an L1 term that leaves few weights, which are broadcast
-(at most 2**bits numbers). Scoring is one map over all texts.
+out. Training reads a bounded sample: `per_class` labelled documents of each label, by a hash, one row of each (that
+whose text has the smallest hash), and of a text with more features the `row_features` with the smallest hashes. It
+makes one pass after another of FTRL-proximal: per-coordinate rates, and an L1 term that leaves few weights, which are
+broadcast (at most 2**bits numbers). Scoring is one map over all texts, with all their features.
 
 Defined results: a null text is empty; a text without words gets the bias alone; without labelled rows of both
 classes every score is 0; a null doc_id counts as held out; a null label is ignored, and of several labels of a
@@ -46,7 +47,7 @@ def _features(part: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(idx), np.concatenate(at), SCALE / np.sqrt(1 + 3 * np.diff(w.first))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bits: int = 20, per_class: int = 5000, passes: int = 8, min_docs: int = 3, alpha: float = 3.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bits: int = 20, per_class: int = 5000, row_features: int = 10_000, passes: int = 8, min_docs: int = 3, alpha: float = 3.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, features, weights). Labels of held-out documents are not read."""
     spark = docs.sparkSession
     tune(spark)
@@ -61,6 +62,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bits: int
                 idx, at, x = _features(part, bits)
                 pair = np.unique(at << bits | idx)
                 cut = np.searchsorted(pair >> bits, np.arange(part.num_rows + 1))
+                if np.diff(cut).max(initial=0) > row_features:
+                    pair = np.concatenate([pair[a : min(b, a + row_features)] for a, b in zip(cut, cut[1:], strict=False)])
+                    x = np.where(np.diff(cut) > row_features, SCALE / np.sqrt(1 + row_features), x)
+                    cut = np.searchsorted(pair >> bits, np.arange(part.num_rows + 1))
                 rows = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((pair & ((1 << bits) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y"), rows, pa.array(x)], ["h", "y", "f", "x"])
 
@@ -88,7 +93,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bits: int
             at = np.union1d(np.flatnonzero(w), [1 << bits])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["f", "w"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "h", "y")  # 2 * per_class rows at most
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_class keys at most
+    sample = sample.groupBy("doc_id", "h", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # and so many rows
     features = sample.mapInArrow(extract, "h long, y int, f array<int>, x double").repartition(1).sortWithinPartitions("h", "y", "f")
     rows = features.mapInArrow(learn, "f long, w double").collect()
     if not rows:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DOCS, awkward, frame, real
 
@@ -27,6 +28,44 @@ def test_languages(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.99
 
 
+def test_filter_agrees_with_exact_sets(spark):
+    """Brute force: exact n-gram sets in place of the filter, counted and compared in plain Python."""
+    docs, n = real(spark, "sf0.01"), 5
+    model = langid.train(docs, n=n)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+
+    def grams(t):
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+        raw = b" " * (n - 1) + bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in raw) + b" " * (n - 1)
+        return [raw[i : i + n] for i in range(len(raw) - n + 1)]
+
+    seen, sets = {}, {}
+    for d, t, x in rows:
+        if not fold(d) and x is not None and t is not None:
+            seen.setdefault(x, set()).add(t)
+    for x, texts in seen.items():
+        c = Counter(g for t in texts for g in set(grams(t)))
+        sets[x] = {g for g, k in c.items() if k >= max(2, 0.01 * len(texts))}
+    order = sorted(seen, key=lambda x: (-len(seen[x]), x))
+    assert model.languages == order
+    got = {r.doc_id: r for r in langid.predict(docs, model, n=n).collect()}
+    same = 0
+    for d, t, _ in rows:
+        hits = [sum(g in sets[x] for g in grams(t)) for x in order]
+        best = order[int(np.argmax(hits))] if any(c.isalpha() for c in t or "") else "und"
+        same += best == got[d].lang_pred
+        if sum(hits) > 100:
+            assert best == got[d].lang_pred and abs(max(hits) / sum(hits) - got[d].score) < 0.05
+    assert same >= 0.998 * len(rows)
+
+
+def test_many_languages(spark):
+    docs = frame(spark, [(i, f"text number {i} is here", f"l{i % 300}", None, 1) for i in range(3000)])
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, max_languages=299)
+    assert len(langid.train(docs).languages) == 300
+
+
 def test_language_of_awkward_texts(spark):
     rows = [*awkward(), (None, "the word", "en", None, 1), (30, "12 !? 34", "fr", None, 1), (30, "12 !? 34", "fr", None, 1)]
     model = langid.train(real(spark))
@@ -57,6 +96,51 @@ def test_toxicity(spark):
     assert n[1, 1] >= 0.7 * (n[1, 1] + n[1, 0]) and n[0, 1] <= 0.01 * (n[0, 0] + n[0, 1])
 
 
+def test_same_weights_as_plain_python(spark):
+    """FTRL-proximal written out in plain Python, over the features of a small table."""
+    bits, alpha, beta, l1, l2, passes = 12, 3.0, 1.0, 3.0, 0.5, 3
+    words = [f"w{i}" for i in range(30)]
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words[: 20 if i % 3 else 30], 12)), None, None, 1) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    bias, at, w = toxicity.train(docs, labels, bits=bits, passes=passes, min_docs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    known = [(r.h, i, words) for i, words, r in ((r.doc_id, r.text, r) for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id) h").collect()) if not fold(i)]
+    samples = []
+    for h, i, text in known:
+        idx, _, x = toxicity._features(pa.RecordBatch.from_pydict({"text": [text]}), bits)
+        samples.append((h, int(i % 3 == 0), sorted(set(idx.tolist())), float(x[0])))
+    often = Counter(f for *_, fs, _ in samples for f in fs)
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        shrink = 0 if f == "bias" else l1
+        return 0.0 if abs(z[f]) <= shrink else -(z[f] - np.sign(z[f]) * shrink) / ((beta + n[f] ** 0.5) / alpha + l2)
+
+    for _ in range(passes):
+        for _, y, fs, x in sorted(samples, key=lambda s: s[:2]):
+            used = [f for f in fs if often[f] >= 3] + ["bias"]
+            ws = {f: weight(f) for f in used}
+            g = (1 / (1 + np.exp(-sum(ws.values()) * x)) - y) * x
+            for f in used:
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha * ws[f]
+                n[f] += g * g
+    want = {f: weight(f) for f in z if f != "bias" and weight(f)}
+    assert abs(bias - weight("bias")) < 1e-9 and dict(zip(at.tolist(), w.tolist(), strict=True)).keys() == want.keys()
+    assert all(abs(want[f] - x) < 1e-9 for f, x in zip(at.tolist(), w.tolist(), strict=True))
+
+
+def test_training_is_bounded_for_repeated_ids_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, "bad words here", None, None, 1)] * 10_000 + [(2, long, None, None, 1), (3, "good words there", None, None, 1), (1, "zzz", None, None, 1)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    once = frame(spark, rows[-4:])
+    args = {"min_docs": 1, "l1": 0.0, "row_features": 50}
+    a, b = toxicity.train(frame(spark, rows), labels, **args), toxicity.train(once, labels, **args)
+    assert a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() and len(a[1]) < 150
+    assert toxicity.toxicity(frame(spark, rows), labels, **args).count() == len(rows)
+
+
 def test_toxicity_of_awkward_texts(spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (None, 1), (3, None)], "doc_id long, toxic int")
     docs = frame(spark, [*awkward(), (None, "x", None, None, 1), (2, None, None, None, 1)])
