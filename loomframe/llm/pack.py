@@ -7,8 +7,9 @@ fixes sets of one to three pieces that dominate every alternative for their long
 * nothing else fits beside the longest piece: it stays alone;
 * one other piece fills the sequence exactly: that pair;
 * no two others fit beside it: the pair with the largest piece that fits;
-* the largest piece that fits is at least as long as the best feasible pair, and no three others fit or their
-  sum is bounded by the same piece: the pair with that piece.
+* the largest piece that fits is at least as long as the best two that fit, and no three others fit: that pair;
+* no three others fit, and of the pieces longer than the one that completes the largest piece that fits, no two fit:
+  the three, as any other two that fit have a longer and a shorter piece at most as long as these.
 
 Each rule replaces any other filling of the sequence by one at least as good: the pieces that the alternative would
 have used can take the place of the fixed partner.
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import stash, tune
+from ._text import slices
 from ._tokens import MEMORY, Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
@@ -46,15 +48,15 @@ def pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 2, size: int = 1024
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen = Encoder.of(tokenizer, end_id, memory), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch)):
             rows: list[tuple] = []
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            for doc, b in zip(batch.column("doc_id").to_pylist(), enc.ids(texts), strict=True):
+            texts = ["" if t is None else t for t in part.column("text").to_pylist()]
+            for doc, b in zip(part.column("doc_id").to_pylist(), enc.ids(texts), strict=True):
                 n = len(b) // 4
                 at, k, to = 0, 0, (n - 1) % size + 1
                 while at < n:
-                    part = b[4 * at : 4 * to]
-                    rows.append((doc, k, at, to - at, zlib.crc32(part), task, int(seen[to - at]), part)[: 8 if keep_ids else 7])
+                    ids = b[4 * at : 4 * to]
+                    rows.append((doc, k, at, to - at, zlib.crc32(ids), task, int(seen[to - at]), ids)[: 8 if keep_ids else 7])
                     seen[to - at] += 1
                     at, to, k = to, to + size, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names)
@@ -107,6 +109,19 @@ def _best_fill(have: list[int], count: dict[int, int], room: int, j: int) -> int
     return best
 
 
+def _third(have: list[int], count: dict[int, int], room: int, j: int, k: int) -> int:
+    """With k the largest piece beside j: the piece b that makes (j, k, b) dominate every other set with j; 0 if none."""
+    least = [x for x in have[:4] for _ in range(min(4, count[x] - (x == j)))][:3]
+    if len(least) == 3 and sum(least) <= room:
+        return 0
+    b = _largest(have, count, room - k, (j, k))
+    if not b:
+        return 0
+    at = bisect.bisect_right(have, b)
+    longer = [x for x in have[at : at + 3] for _ in range(min(2, count[x] - (x == j)))][:2]
+    return 0 if len(longer) == 2 and sum(longer) <= room else b
+
+
 def reduce(hist: dict[int, int], size: int, plan: Plan) -> dict[int, int]:
     """Fix dominating sets, longest pieces first, as long as a rule holds; returns the lengths that no rule decided."""
     count = {k: v for k, v in hist.items() if v > 0}
@@ -118,7 +133,7 @@ def reduce(hist: dict[int, int], size: int, plan: Plan) -> dict[int, int]:
             count[x] -= times
         for x in {j, *others}:
             if not count[x]:
-                have.remove(x)
+                have.remove(x)  # ascending, at most `size` lengths
 
     for j in sorted(count, reverse=True):
         room = size - j
@@ -131,6 +146,9 @@ def reduce(hist: dict[int, int], size: int, plan: Plan) -> dict[int, int]:
             if k == room or k >= _best_fill(have, count, room, j):
                 take(j, (k,), count[j] // 2 if k == j else min(count[j], count[k]))
                 continue
+            if b := _third(have, count, room, j, k):
+                take(j, (k, b), min(count[x] // n for x, n in Counter((j, k, b)).items()))
+                continue
             break
     return {k: v for k, v in count.items() if v}
 
