@@ -58,12 +58,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
 
 
 def buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets from 0) of a string column; null texts are empty."""
-    if not (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):
+    """(bytes, offsets from 0) of a string or binary column; null texts are empty."""
+    if str(col.type) not in ("string", "large_string", "binary", "large_binary"):
         col = col.cast(pa.large_string())
     if col.null_count:
-        col = col.fill_null("")
-    n, wide = len(col), pa.types.is_large_string(col.type)
+        col = col.fill_null(b"" if "binary" in str(col.type) else "")
+    n, wide = len(col), str(col.type).startswith("large")
     _, ob, db = col.buffers()
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -20,7 +20,7 @@ def op4_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = token_index.write(docs, public_tokenizers.path("word_bpe_49k.json"), memory=REMEMBERED)
     found = token_index.lookup(spark, path, docs.select("doc_id").distinct())
-    return token_index.read(spark, path, token_index.expand(found, path))
+    return token_index.read(spark, path, token_index.expand(found, path, nulls=True))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """Token ids in binary shards with a minimal perfect hash index over document keys.
 
+Texts are tokenized first, where they are read, and written as a table of raw ids; only ids are shuffled.
+
 Shard file: the ids of its documents one after another, raw and little-endian, 2 bytes each where the vocabulary
-allows it (`width`), no header. Documents are in ascending key order over all shards (shards are numbered).
+allows it (`width`), no header. Documents are in ascending key order over all shards (shards are numbered); there are
+as many shards as `shard_bytes` needs, spark.sql.shuffle.partitions at least. A shard is written while its documents
+come in; a task holds one Arrow batch of them.
 
 Index: keys are dealt by hash to buckets of about BUCKET keys; a bucket's file holds a minimal perfect hash (a
 3-partite hypergraph peeled in rounds; two bits per vertex, ranks by checkpoints) and, at each key's position, a
@@ -12,8 +16,9 @@ Files go to the shared folder by pyarrow's file systems (local, hdfs, s3, gs ...
 and are then renamed, so a repeated or lost task leaves the same file.
 
 Defined results: a null text is empty and holds the end id only; a null key sorts first and is stored, but has no
-index entry; records of a repeated key stay together (ordered by the text's hash) and the index gives the first and
-their number; an empty table makes no shard; other columns are ignored.
+index entry: `expand` gives such records with `nulls`; records of a repeated key stay in a row (by their ids' checksum,
+then by their place in the input) and the index gives the first and their number; records of one key may stand in
+several shards; an empty table makes no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import new_path, tune
-from ._text import mix
+from ._spark import new_path, stash, tune
+from ._text import buffer, mix, slices
 from ._tokens import MEMORY, Encoder
 
 BUCKET = 100_000
+#: Bytes of a shard that are read at once.
+RUN = 4 << 20
 _CHECK = 256
 U64 = np.uint64
 
@@ -42,20 +49,35 @@ def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def _write(path: str, parts: Iterator[bytes]) -> None:
-    fs, p = _fs(path)
-    fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
-    task = TaskContext.get()
-    own = f"{p}.{task.taskAttemptId() if task else 0}.part"
-    with fs.open_output_stream(own) as f:
-        for x in parts:
-            f.write(x)
-    try:
-        fs.move(own, p)
-    except OSError:  # another attempt of the task was first: its file has the same bytes
-        if fs.get_file_info(p).type != pafs.FileType.File:
-            raise
-        fs.delete_file(own)
+class _Output:
+    """A file under the task attempt's own name until all is written."""
+
+    def __init__(self, path: str):
+        self.fs, self.path = _fs(path)
+        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        task = TaskContext.get()
+        self.own = f"{self.path}.{task.taskAttemptId() if task else 0}.part"
+
+    def __enter__(self) -> pa.NativeFile:
+        self.file = self.fs.open_output_stream(self.own)
+        return self.file
+
+    def __exit__(self, kind: object, *_: object) -> None:
+        self.file.close()
+        if kind is not None:
+            self.fs.delete_file(self.own)
+            return
+        try:
+            self.fs.move(self.own, self.path)
+        except OSError:  # another attempt of the task was first: its file has the same bytes
+            if self.fs.get_file_info(self.path).type != pafs.FileType.File:
+                raise
+            self.fs.delete_file(self.own)
+
+
+def _write(path: str, what: bytes) -> None:
+    with _Output(path) as f:
+        f.write(what)
 
 
 def _read(path: str) -> bytes:
@@ -174,36 +196,50 @@ class Bucket:
 # --- writing and reading -------------------------------------------------------------------------------------
 
 
-def write(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int = 2, width: int = 2, path: str | None = None, memory: int = MEMORY) -> str:
+def tokenized(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int = 2, width: int = 2, memory: int = MEMORY) -> DataFrame:
+    """(k, x, task, row, ids): raw ids of each document, their checksum and the row's place in the input."""
+    tune(docs.sparkSession)
+    dtype = {2: "<u2", 4: "<u4"}[width]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, task, row = Encoder.of(tokenizer, end_id, memory), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for part in slices(batch):
+                found = enc.ids(["" if t is None else t for t in part.column("text").to_pylist()])
+                if width == 2:
+                    wide = [np.frombuffer(b, "<u4") for b in found]
+                    if max(x.max() for x in wide) > 65535:
+                        raise ValueError("ids need width=4")
+                    found = [x.astype(dtype).tobytes() for x in wide]
+                n = part.num_rows
+                cols = [part.column("k"), pa.array([zlib.crc32(b) for b in found], pa.int64()), pa.array(np.full(n, task)), pa.array(np.arange(row, row + n)), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "x", "task", "row", "ids"])
+                row += n
+
+    keyed = docs.select(F.col(key).cast("long").alias("k"), "text")
+    return keyed.mapInArrow(encode, "k long, x long, task long, row long, ids binary")
+
+
+def write(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int = 2, width: int = 2, path: str | None = None, memory: int = MEMORY, shard_bytes: int = 256 << 20) -> str:
     """Write shards and index; returns the folder. width: bytes of an id (2 up to 65,536 ids, else 4)."""
     spark = docs.sparkSession
-    tune(spark)
     path = path or new_path(spark, "token-index")
-    dtype = {2: "<u2", 4: "<u4"}[width]
+    ids = stash(tokenized(docs, tokenizer, key=key, end_id=end_id, width=width, memory=memory), "ids")
+    size = ids.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first().n
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, me = Encoder.of(tokenizer, end_id, memory), TaskContext.get().partitionId()
-        rows: list[tuple] = []
-        size = 0
-
-        def parts() -> Iterator[bytes]:
-            nonlocal size
+        me, at = TaskContext.get().partitionId(), 0
+        with _Output(f"{path}/shards/{me:06d}.bin") as out:
             for batch in batches:
-                for k, b in zip(batch.column("k").to_pylist(), enc.ids(["" if t is None else t for t in batch.column("text").to_pylist()]), strict=True):
-                    ids = np.frombuffer(b, "<u4")
-                    if width == 2 and ids.max() > 65535:
-                        raise ValueError("ids need width=4")
-                    rows.append((k, me, size, len(ids)))
-                    size += len(ids)
-                    yield ids.astype(dtype).tobytes()
-
-        _write(f"{path}/shards/{me:06d}.bin", parts())
-        for at in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 50_000], strict=True)], ["k", "shard", "offset", "length"])
-
-    keyed = docs.select(F.col(key).cast("long").alias("k"), "text", F.xxhash64("text").alias("x"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = keyed.repartitionByRange(n, "k", "x").sortWithinPartitions("k", "x").select("k", "text").mapInArrow(shard, "k long, shard long, offset long, length long")
+                data, offs = buffer(batch.column("ids"))
+                out.write(data)
+                length = np.diff(offs) // width
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(np.full(len(length), me)), pa.array(at + offs[:-1] // width), pa.array(length)], ["k", "shard", "offset", "length"])
+                at += int(offs[-1]) // width
+
+    order = ("k", "x", "task", "row")
+    rows = ids.repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "ids").mapInArrow(shard, "k long, shard long, offset long, length long")
     rows.write.parquet(f"{path}/records")
     records = spark.read.parquet(f"{path}/records")
     totals = {r.shard: r.n for r in records.groupBy("shard").agg(F.sum("length").alias("n")).collect()}  # one row per shard
@@ -218,7 +254,7 @@ def write(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int =
 
         def flush() -> None:
             k = [np.concatenate(c) for c in zip(*cols, strict=True)]
-            _write(f"{path}/index/{last:06d}.mph", iter([bucket_bytes(*k)]))
+            _write(f"{path}/index/{last:06d}.mph", bucket_bytes(*k))
             done.append(last)
 
         for batch in batches:
@@ -246,7 +282,7 @@ def _bucket(key, n: int):
 
 
 def _put_manifest(path: str, what: dict) -> None:
-    _write(f"{path}/manifest.json", iter([json.dumps(what).encode()]))
+    _write(f"{path}/manifest.json", json.dumps(what).encode())
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -290,28 +326,41 @@ def read(spark: SparkSession, path: str, found: DataFrame, *, key: str = "doc_id
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, f = None, None
         for batch in batches:
-            rows = []
-            for k, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("k", "shard", "offset", "length")), strict=True):
-                if shard != last:
-                    last, (fs, p) = shard, _fs(f"{path}/shards/{shard:06d}.bin")
+            k, shard, offset, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "shard", "offset", "length"))
+            if not len(shard):
+                continue
+            # Neighbours in a shard are read at once, RUN bytes at most (or one record).
+            start, stop = offset * width, (offset + length) * width
+            at = 0
+            while at < len(shard):
+                to = at + 1
+                while to < len(shard) and shard[to] == shard[at] and start[to] == stop[to - 1] and stop[to] - start[at] <= RUN:
+                    to += 1
+                if shard[at] != last:
+                    if f is not None:
+                        f.close()
+                    last, (fs, p) = shard[at], _fs(f"{path}/shards/{shard[at]:06d}.bin")
                     f = fs.open_input_file(p)
-                f.seek(offset * width)
-                ids = np.frombuffer(f.read(length * width), dtype).astype("<u4").tobytes()
-                rows.append((k, shared.value[shard] + offset, len(ids) // 4, zlib.crc32(ids), ids)[: len(names)])
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+                f.seek(int(start[at]))
+                raw = f.read(int(stop[to - 1] - start[at]))
+                ids = [np.frombuffer(raw[a:b], dtype).astype("<u4").tobytes() for a, b in zip((start[at:to] - start[at]).tolist(), (stop[at:to] - start[at]).tolist(), strict=True)]
+                cols = [batch.column("k").slice(at, to - at), pa.array(offset[at:to] + shared.value[int(shard[at])]), pa.array(length[at:to]), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(ids, pa.binary())] * keep_ids)], names)
+                at = to
+        if f is not None:
+            f.close()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = found.withColumnRenamed(key, "k").repartition(n, "shard").sortWithinPartitions("shard", "offset")
+    by = found.withColumnRenamed(key, "k").repartition(max(n, len(first)), "shard").sortWithinPartitions("shard", "offset")
     return by.mapInArrow(fetch, "k long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids).withColumnRenamed("k", key)
 
 
-def expand(found: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
-    """Every record of the keys found, those after a repeated key's first too, by their order in the shards."""
+def expand(found: DataFrame, path: str, *, key: str = "doc_id", nulls: bool = False) -> DataFrame:
+    """Every record of the keys found, those after a repeated key's first too, by their order in the shards; with
+    `nulls` the records without a key, too."""
     spark = found.sparkSession
     records = spark.read.parquet(f"{path}/records").withColumnRenamed("k", key)
-    once = found.where("records = 1").select(key, "shard", "offset", "length")
+    out = found.where("records = 1").select(key, "shard", "offset", "length")
     more = found.where("records > 1").select(key).distinct()
-    return once.unionByName(records.join(more, key, "left_semi").select(key, "shard", "offset", "length"))
-
-
+    out = out.unionByName(records.join(more, key, "left_semi").select(key, "shard", "offset", "length"))
+    return out.unionByName(records.where(F.col(key).isNull()).select(key, "shard", "offset", "length")) if nulls else out

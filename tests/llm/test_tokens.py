@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pytest
 from helpers import DOCS, awkward, frame, real
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomframe.llm import pack, token_index
@@ -35,12 +37,13 @@ def crc(ids):
 
 @pytest.mark.parametrize("which", ["real", "awkward"])
 def test_index_round_trip(spark, which):
-    docs = real(spark) if which == "real" else frame(spark, [*awkward(), (5, "again", None, None, 0), (5, "again", None, None, 0)])
+    docs = real(spark) if which == "real" else frame(spark, [*awkward(), (5, "again", None, None, 0), (5, "again", None, None, 0), (None, "no key", None, None, 0), (None, None, None, None, 0), (None, "no key", None, None, 0)])
+    docs = docs.withColumns({c: F.lit(c) for c in ("k", "x", "row", "shard", "offset", "ids")})
     enc, at, want = plain(FILES[1]), 0, []
-    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id, r.text or ""))
+    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
     path = token_index.write(docs, public_tokenizers.path(FILES[1]))
     found = token_index.lookup(spark, path, docs.select("doc_id").distinct())
-    got = [tuple(r) for r in token_index.read(spark, path, token_index.expand(found, path), keep_ids=True).collect()]
+    got = [tuple(r) for r in token_index.read(spark, path, token_index.expand(found, path, nulls=True), keep_ids=True).collect()]
     if which == "real":
         for r in rows:
             ids = enc(r.text)
@@ -55,6 +58,23 @@ def test_index_round_trip(spark, which):
     assert token_index.lookup(spark, path, missing).count() == 0
 
 
+def test_long_text_and_many_repeated_rows(spark):
+    """A text of 20 MB, and a key with 10,000 equal rows over several shards."""
+    long = "some words, then others. " * 800_000
+    docs = frame(spark, [(7, "same text here", None, None, 0)] * 10_000 + [(3, long, None, None, 0), (9, "last", None, None, 0)])
+    path = token_index.write(docs, public_tokenizers.path(FILES[1]), shard_bytes=20_000)
+    assert len(json.loads(token_index._read(f"{path}/manifest.json"))["shards"]) > 4
+    got = token_index.read(spark, path, token_index.expand(token_index.lookup(spark, path, docs.select("doc_id").distinct()), path)).collect()
+    enc = plain(FILES[1])
+    n, same, end = len(enc(long[: 25 * 1000])) - 1, enc("same text here"), enc("last")
+    starts = sorted((r.start, r.doc_id, r.n_tokens) for r in got)
+    first = 800 * n + 1
+    assert starts == [(0, 3, first), *((first + k * len(same), 7, len(same)) for k in range(10_000)), (first + 10_000 * len(same), 9, len(end))]
+    assert {r.ids_crc32 for r in got if r.doc_id == 7} == {crc(same)}
+    packed = pack.pack(docs, public_tokenizers.path(FILES[0])).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert max(r.n for r in packed) <= 1024
+
+
 def test_index_of_nothing(spark):
     path = token_index.write(frame(spark, [], DOCS), public_tokenizers.path(FILES[1]))
     assert token_index.lookup(spark, path, spark.range(5).withColumnRenamed("id", "doc_id")).count() == 0
@@ -95,6 +115,25 @@ def test_reduction_keeps_an_optimum(sizes):
     assert made.sequences + best(sorted(rest, reverse=True)) == best(sorted(sizes, reverse=True))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=200))
+def test_plan_is_at_most_one_sequence_above_plain_best_fit(sizes):
+    """Plain best-fit decreasing, piece by piece."""
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fit = [r for r in rooms if r >= s]
+        if fit:
+            rooms.remove(min(fit))
+        rooms.append((min(fit) if fit else 100) - s)
+    made = pack.plan(Counter(sizes), 100)
+    assert -(-sum(sizes) // 100) <= made.sequences <= len(rooms) + 1
+
+
+def test_three_pieces_are_fixed():
+    made = pack.Plan()  # no three others fit, nor do two of those longer than 21
+    assert not pack.reduce({50: 1, 28: 1, 21: 1, 27: 1}, 100, made).keys() & {50, 28, 21} and ((50, 28, 21), 1) in made.parts
+
+
 @pytest.mark.parametrize("which", ["real", "awkward", "empty"])
 def test_pack(spark, which):
     docs = real(spark) if which == "real" else frame(spark, [] if which == "empty" else [*awkward(), (3, "a", None, None, 1), (3, "a", None, None, 1)])
