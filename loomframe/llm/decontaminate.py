@@ -145,7 +145,7 @@ def _join(docs: DataFrame, block: _Block | None) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, block_chars: int = 8_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document: the columns `keep`, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word spans, flat), hit_items."""
     tune(docs.sparkSession)
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t")).distinct()
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
     n_blocks = max(1, -(-total // block_chars))
     cols = list(dict.fromkeys([*keep, "text"]))

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from helpers import DOCS, awkward, frame, real
+from pyspark.sql import functions as F
 
 from loomframe.llm import decontaminate as op
 
@@ -53,3 +54,12 @@ def test_awkward(spark):
     assert run(spark, frame(spark, docs), it, block_chars=2000) == want
     assert run(spark, frame(spark, docs), it.limit(0)) == brute([r[:2] for r in docs], [])
     assert run(spark, frame(spark, [], DOCS), it) == []
+
+
+def test_many_repeated_items_and_a_long_text(spark):
+    items = spark.createDataFrame([("7", "one two three four five six seven eight nine ten eleven")] * 10_000 + [("8", "alpha beta gamma")], "item_id string, text string")
+    long = "filler text here " * 1_000_000
+    docs = [(None, "zero one two three four five six seven eight nine ten", None, None, 1), (2, long + "alpha, beta; gamma", None, None, 1), (None, None, None, None, 0)]
+    d = frame(spark, docs).withColumns({c: F.lit(c) for c in ("_words", "_spans", "_items", "n_words")})
+    got = {r.n_words: (r.doc_id, r.n_hit, r.n_items) for r in op.contamination(d, items, block_chars=100).collect()}
+    assert got == {11: (None, 10, 1), 3_000_003: (2, 3, 1), 0: (None, 0, 0)}
