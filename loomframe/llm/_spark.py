@@ -11,8 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows handed to a Python worker at once; the workers cut these again by bytes (`_text.slices`).
-ARROW_ROWS = 1000
+#: Rows and bytes handed to a Python worker at once (one row at least); the workers cut these again (`_text.slices`).
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 _sent: set[str] = set()
@@ -34,9 +34,13 @@ def send_code(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches; long documents make the default of 10,000 rows too much for a worker."""
+    """Bound the Arrow batches for the rest of the session: long documents make the default of 10,000 rows too much for
+    a worker. By rows to ARROW_ROWS, if the setting isn't lower already, and by bytes to ARROW_BYTES."""
     send_code(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    spark.conf.set(size, str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and Spark is local."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if found := sc._jsc.sc().getCheckpointDir():
         if found.isDefined():
             return str(found.get()).rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="loomframe-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(f"file://{own}")
