@@ -1,6 +1,7 @@
 """Token ids in binary shards with a minimal perfect hash index over document keys.
 
-Texts are tokenized first, where they are read, and written as a table of raw ids; only ids are shuffled.
+Texts are dealt to the shards' tasks by ranges of their keys and tokenized there: ids take about as much room as text,
+and ids made before the shuffle would have to be written once more.
 
 Shard file: the ids of its documents one after another, raw and little-endian, 2 bytes each where the vocabulary
 allows it (`width`), no header. Documents are in ascending key order over all shards (shards are numbered); there are
@@ -16,7 +17,7 @@ Files go to the shared folder by pyarrow's file systems (local, hdfs, s3, gs ...
 and are then renamed, so a repeated or lost task leaves the same file.
 
 Defined results: a null text is empty and holds the end id only; a null key sorts first and is stored, but has no
-index entry: `expand` gives such records with `nulls`; records of a repeated key stay in a row (by their ids' checksum,
+index entry: `expand` gives such records with `nulls`; records of a repeated key stay in a row (by their text's hash,
 then by their place in the input) and the index gives the first and their number; records of one key may stand in
 several shards; an empty table makes no shard; other columns are ignored.
 """
@@ -34,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import new_path, stash, tune
-from ._text import buffer, mix, slices
+from ._spark import new_path, tune
+from ._text import mix
 from ._tokens import MEMORY, Encoder
 
 BUCKET = 100_000
@@ -196,50 +197,32 @@ class Bucket:
 # --- writing and reading -------------------------------------------------------------------------------------
 
 
-def tokenized(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int = 2, width: int = 2, memory: int = MEMORY) -> DataFrame:
-    """(k, x, task, row, ids): raw ids of each document, their checksum and the row's place in the input."""
-    tune(docs.sparkSession)
-    dtype = {2: "<u2", 4: "<u4"}[width]
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, row = Encoder.of(tokenizer, end_id, memory), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for part in slices(batch):
-                found = enc.ids(["" if t is None else t for t in part.column("text").to_pylist()])
-                if width == 2:
-                    wide = [np.frombuffer(b, "<u4") for b in found]
-                    if max(x.max() for x in wide) > 65535:
-                        raise ValueError("ids need width=4")
-                    found = [x.astype(dtype).tobytes() for x in wide]
-                n = part.num_rows
-                cols = [part.column("k"), pa.array([zlib.crc32(b) for b in found], pa.int64()), pa.array(np.full(n, task)), pa.array(np.arange(row, row + n)), pa.array(found, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["k", "x", "task", "row", "ids"])
-                row += n
-
-    keyed = docs.select(F.col(key).cast("long").alias("k"), "text")
-    return keyed.mapInArrow(encode, "k long, x long, task long, row long, ids binary")
-
-
-def write(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int = 2, width: int = 2, path: str | None = None, memory: int = MEMORY, shard_bytes: int = 256 << 20) -> str:
+def write(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int = 2, width: int = 2, path: str | None = None, memory: int = MEMORY, shard_bytes: int = 1 << 30) -> str:
     """Write shards and index; returns the folder. width: bytes of an id (2 up to 65,536 ids, else 4)."""
     spark = docs.sparkSession
     path = path or new_path(spark, "token-index")
-    ids = stash(tokenized(docs, tokenizer, key=key, end_id=end_id, width=width, memory=memory), "ids")
-    size = ids.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first().n
+    tune(spark)
+    dtype = {2: "<u2", 4: "<u4"}[width]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, at = TaskContext.get().partitionId(), 0
+        enc, me, at = Encoder.of(tokenizer, end_id, memory), TaskContext.get().partitionId(), 0
         with _Output(f"{path}/shards/{me:06d}.bin") as out:
             for batch in batches:
-                data, offs = buffer(batch.column("ids"))
-                out.write(data)
-                length = np.diff(offs) // width
-                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(np.full(len(length), me)), pa.array(at + offs[:-1] // width), pa.array(length)], ["k", "shard", "offset", "length"])
-                at += int(offs[-1]) // width
-
-    order = ("k", "x", "task", "row")
-    rows = ids.repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "ids").mapInArrow(shard, "k long, shard long, offset long, length long")
+                found = enc.ids(["" if t is None else t for t in batch.column("text").to_pylist()])
+                length = np.array([len(b) // 4 for b in found], np.int64)
+                ids = np.frombuffer(b"".join(found), "<u4")
+                if width == 2 and ids.max(initial=0) > 65535:
+                    raise ValueError("ids need width=4")
+                out.write(ids.astype(dtype))
+                ends = at + np.cumsum(length)
+                at = int(ends[-1]) if len(ends) else at
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(np.full(len(length), me)), pa.array(ends - length), pa.array(length)], ["k", "shard", "offset", "length"])
+
+    order = ("k", "x", "row")  # the row's number lets equal rows stand in several shards
+    keyed = docs.select(F.col(key).cast("long").alias("k"), "text", F.xxhash64("text").alias("x"), F.monotonically_increasing_id().alias("row"))
+    rows = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "text").mapInArrow(shard, "k long, shard long, offset long, length long")
     rows.write.parquet(f"{path}/records")
     records = spark.read.parquet(f"{path}/records")
     totals = {r.shard: r.n for r in records.groupBy("shard").agg(F.sum("length").alias("n")).collect()}  # one row per shard
