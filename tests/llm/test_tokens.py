@@ -62,7 +62,7 @@ def test_long_text_and_many_repeated_rows(spark):
     """A text of 20 MB, and a key with 10,000 equal rows over several shards."""
     long = "some words, then others. " * 800_000
     docs = frame(spark, [(7, "same text here", None, None, 0)] * 10_000 + [(3, long, None, None, 0), (9, "last", None, None, 0)])
-    path = token_index.write(docs, public_tokenizers.path(FILES[1]), shard_bytes=20_000)
+    path = token_index.write(docs, public_tokenizers.path(FILES[1]), shard_bytes=4_000_000)
     assert len(json.loads(token_index._read(f"{path}/manifest.json"))["shards"]) > 4
     got = token_index.read(spark, path, token_index.expand(token_index.lookup(spark, path, docs.select("doc_id").distinct()), path)).collect()
     enc = plain(FILES[1])
