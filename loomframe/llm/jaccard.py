@@ -17,10 +17,15 @@ nodes link when 100 * intersection >= percent * union. Steps, all on tables:
    places and in the size range that a link needs. What stands behind the last shared shingle bounds an overlap with
    one node only, so this is asked of lone nodes and of an opened group's members, one by one.
 5. Verification compares whole sets. A pivot's partners are split into chunks, the pivot's text going to each.
-   Components over all links give the result; pairs inside a group aren't listed, as its members are linked already.
+   Pairs inside a group aren't listed, as its members are linked already; components of the groups over the links
+   between them give the result.
 
-Broadcast: the numbers of the `heavy` commonest shingles at most; and the rows naming candidate documents while they
-are fewer than `broadcast_rows`, else the join is shuffled.
+Hot shingles: those that more than `hot` sets hold are known from the first step, if they are among the `heavy`
+commonest. Their rows are dealt over SALTS tasks, and what is counted of them is put together in a table of `heavy`
+rows at most.
+
+Broadcast: the numbers of the `heavy` commonest shingles at most, counts of hot ones (as many), and the destinations
+of candidate documents while they are at most `broadcast_rows` (about 30 bytes each), else the join is shuffled.
 
 Defined results: null or blank texts have n_shingles 0 and are linked with nothing; copies are linked with each other;
 a null doc_id counts as larger than all others and is given back as null; repeated rows each get a row; other columns
@@ -45,6 +50,9 @@ U64 = np.uint64
 LOW = 0.3
 DEPTH = 3
 CHUNK = 256
+SALTS = 256
+#: Bytes of text in a batch that is dealt.
+DEALT = 4 << 20
 NO_ID = 2**63 - 1
 
 
@@ -100,6 +108,9 @@ class _Order:
             out[at] = np.where(self.tokens[k] == s[at], self.counts[k], 0)
         return out
 
+    def hot(self, s: np.ndarray, more_than: int) -> np.ndarray:
+        return self.of(s) > more_than
+
     def prefix(self, s: np.ndarray, percent: int) -> np.ndarray:
         """The set's prefix, in order."""
         n = len(s)
@@ -170,31 +181,49 @@ def _order(docs: DataFrame, size: int, percent: int, heavy: int, heavy_min: int)
     return _Order(np.concatenate((first.tokens, second.tokens)), np.concatenate((first.counts, second.counts)))
 
 
-def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, size: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, size: int = 5, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """Those of the pairs (a, b) whose sets link. b's partners are dealt in chunks; b should be the more frequent side."""
-    spark = docs.sparkSession
+    spark, size_ = docs.sparkSession, size
     pairs = stash(pairs.select("a", "b"), "pairs")
     chunks = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).withColumn("c", F.ceil(F.col("c") / CHUNK).cast("int"))
     chunks = stash(chunks, "chunks")
     many = chunks.where("c > 1")
     spoke = pairs.join(many, "b", "left").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.coalesce(F.pmod(F.xxhash64("a"), F.col("c")), F.lit(0)).cast("int").alias("chunk"), F.lit(1).alias("role"))
     hub = chunks.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk"), F.lit(0).alias("role"))
-    # A node's destinations, at most 64 in a row.
+    # A node's destinations, dealt over 64 rows. `row` names a row of docs with the node's text.
     places = spoke.unionByName(hub).withColumn("part", F.pmod(F.xxhash64("hub", "chunk"), F.lit(64)))
     places = places.groupBy("node", "part").agg(F.collect_list(F.struct("hub", "chunk", "role")).alias("to"))
-    places = stash(places.join(nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("_rep"), "to"), "places")
-    small = places.count() <= broadcast_rows
-    texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_rep"), "text").join(F.broadcast(places) if small else places, "_rep").select("node", "text", "to")
+    places = stash(places.join(nodes.select("node", "row"), "node").select("node", F.col("row").alias("_row"), "to"), "places")
+    small = places.agg(F.coalesce(F.sum(F.size("to")), F.lit(0)).alias("n")).first().n <= broadcast_rows
+    texts = docs.select(_row().alias("_row"), "text").join(F.broadcast(places) if small else places, "_row").select("node", "text", "to")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size, sent = [], 0, set()
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["hub", "chunk", "role", "node", "text"])
+
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for want, s, text, to in zip(part.column("node").to_pylist(), sets(part, size), part.column("text"), part.column("to").to_pylist(), strict=True):
-                    if len(s) and node(s) == want:
-                        rows += [(t["hub"], t["chunk"], t["role"], want, text.as_py()) for t in to]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["hub", "chunk", "role", "node", "text"])
+                for want, s, text, to in zip(part.column("node").to_pylist(), sets(part, size_), part.column("text"), part.column("to").to_pylist(), strict=True):
+                    key = (want, to[0]["hub"], to[0]["chunk"])
+                    if not len(s) or node(s) != want or key in sent:  # repeated rows are dealt once for each task
+                        continue
+                    sent.add(key)
+                    text = text.as_py()
+                    for t in to:
+                        rows.append((t["hub"], t["chunk"], t["role"], want, text))
+                        size += len(text)
+                        if size > DEALT:
+                            yield flush()
+                            rows, size = [], 0
+        if rows:
+            yield flush()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, None
@@ -216,7 +245,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, size: int = 5
     return stash(dealt.repartition(n, "hub", "chunk").sortWithinPartitions("hub", "chunk", "role").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1 << 20, heavy_min: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1 << 20, heavy_min: int = 8, hot: int = 20_000, broadcast_rows: int = 500_000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     tune(docs.sparkSession)
     spark = docs.sparkSession
@@ -226,12 +255,12 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
         for batch in batches:
             for part in slices(batch):
                 s = sets(part, size)
-                cols = [part.column("doc_id"), pa.array([len(x) for x in s], pa.int64()), pa.array([node(x) if len(x) else None for x in s], pa.int64()), pa.array([_second(x) for x in s], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "second"])
+                cols = [part.column("doc_id"), part.column("row"), pa.array([len(x) for x in s], pa.int64()), pa.array([node(x) if len(x) else None for x in s], pa.int64()), pa.array([_second(x) for x in s], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "n", "node", "second"])
 
-    named = stash(docs.mapInArrow(name, "doc_id long, n long, node long, second long"), "sets")
+    named = stash(docs.withColumn("row", _row()).mapInArrow(name, "doc_id long, row long, n long, node long, second long"), "sets")
     rep = F.min(F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
-    nodes = named.where("n > 0").groupBy("node").agg(rep.alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("second").alias("s0"), F.max("second").alias("s1"))
+    nodes = named.where("n > 0").groupBy("node").agg(rep.alias("rep"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.min("second").alias("s0"), F.max("second").alias("s1"))
     nodes = stash(nodes, "nodes")
     if not nodes.where("s0 <> s1").isEmpty():
         raise ValueError("two different sets have one hash")
@@ -242,11 +271,11 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
         held, total = [], 0
 
         def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["token", "node", "n", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["token", "node", "n", "pos", "hot"])
 
         for k, s in _new_sets(batches, size):
             p = order.value.prefix(s, percent)
-            held.append((p.view(np.int64), np.full(len(p), k), np.full(len(p), len(s), np.int32), np.arange(1, len(p) + 1, dtype=np.int32)))
+            held.append((p.view(np.int64), np.full(len(p), k), np.full(len(p), len(s), np.int32), np.arange(1, len(p) + 1, dtype=np.int32), order.value.hot(p, hot)))
             total += len(p)
             if total > 200_000:
                 yield batch_of()
@@ -254,7 +283,6 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
         if held:
             yield batch_of()
 
-    by = Window.partitionBy("token")
     n, least = F.col("n"), F.least(F.lit(DEPTH), F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100))
 
     def fits(n: Column, m: Column) -> Column:
@@ -276,27 +304,39 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
         enough = rows.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
         return rows.join(enough.select("node"), "node", "left_semi")
 
-    posts = docs.select("text").mapInArrow(prefixes, "token long, node long, n int, pos int")
-    posts = stash(posts.withColumn("df", F.count(F.lit(1)).over(by)).withColumn("lo", F.min("n").over(by)).where("df > 1"), "prefixes")
-    posts = able(posts).drop("df", "lo")
-    posts = stash(posts.withColumn("df", F.count(F.lit(1)).over(by)).where("df > 1"), "shared")
+    by = Window.partitionBy("token", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)))
+
+    def shared(rows: DataFrame, name: str) -> DataFrame:
+        """Rows of shingles that more than one node has, with df, their number, and lo, the smallest of these nodes."""
+        rows = rows.select("token", "node", "n", "pos", "hot")
+        rows = stash(rows.withColumn("df", F.count(F.lit(1)).over(by)).withColumn("lo", F.min("n").over(by)).where("hot or df > 1"), name)
+        whole = rows.where("hot").groupBy("token").agg(F.count(F.lit(1)).alias("_df"), F.min("lo").alias("_lo"))
+        rows = rows.join(F.broadcast(whole), "token", "left")  # `heavy` rows at most
+        return rows.withColumns({"df": F.coalesce("_df", "df"), "lo": F.coalesce("_lo", "lo")}).drop("_df", "_lo").where("df > 1")
+
+    def with_token(rows: DataFrame, one: DataFrame) -> DataFrame:
+        """Join with a table that has one row for each shingle: hot ones are no key of a shuffle."""
+        cold = rows.where("not hot").join(one.where("not hot").drop("hot"), "token")
+        return cold.unionByName(rows.where("hot").join(F.broadcast(one.where("hot").drop("hot")), "token"))
+
+    posts = able(shared(docs.select("text").mapInArrow(prefixes, "token long, node long, n int, pos int, hot boolean"), "prefixes"))
+    posts = stash(shared(posts, "able").drop("lo"), "shared")
 
     # Pivots: a text that others were made from has few shingles of its own, so common ones fill its prefix.
     score = posts.groupBy("node").agg((F.sum("df") * 1.0).alias("score"))
-    scored = stash(posts.select("token", "node").join(score, "node"), "scored")
-    pivots = scored.groupBy("token").agg(F.max(F.struct("score", "node")).alias("p"))
-    first = scored.join(pivots, "token").where("p.node <> node").groupBy("node").agg(F.max("p").alias("p"))
+    scored = stash(posts.select("token", "node", "hot").join(score, "node"), "scored")
+    pivots = scored.groupBy("token", "hot").agg(F.max(F.struct("score", "node")).alias("p"))
+    first = with_token(scored, pivots).where("p.node <> node").groupBy("node").agg(F.max("p").alias("p"))
     first = stash(first.select(F.col("node").alias("a"), F.col("p.node").alias("b")), "first")
-    links = verify(docs, nodes, first, size=size, percent=percent, broadcast_rows=broadcast_rows)
-    groups = components(links)
+    groups = components(verify(docs, nodes, first, size=size, percent=percent, broadcast_rows=broadcast_rows))
 
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("s"))
-    groups = groups.join(sizes, "comp").select("node", "comp", "s")
-    mine = posts.select("token", "node", "n", "pos").join(groups, "node", "left")
-    mine = mine.select("token", "node", "n", "pos", F.struct(F.coalesce("s", F.lit(1)).alias("s"), F.coalesce("comp", "node").alias("id")).alias("g"))
+    groups = stash(groups.join(sizes, "comp").select("node", "comp", "s"), "groups")
+    mine = posts.select("token", "node", "n", "pos", "hot").join(groups, "node", "left")
+    mine = mine.select("token", "node", "n", "pos", "hot", F.struct(F.coalesce("s", F.lit(1)).alias("s"), F.coalesce("comp", "node").alias("id")).alias("g"))
     for k in range(2):  # shingles in more than one group, of nodes that can link beyond their own
-        mixed = mine.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("n").alias("lo")).where("g0 <> g1").select("token", "lo")
-        mine = stash(able(mine.join(mixed, "token")).drop("lo"), f"mixed{k}")
+        mixed = mine.groupBy("token", "hot").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("n").alias("lo")).where("g0 <> g1").select("token", "hot", "lo")
+        mine = stash(able(with_token(mine, mixed)).drop("lo"), f"mixed{k}")
     matrix = mine.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("pos").alias("far"), F.max(n - F.col("pos")).alias("rest"))
 
     # Each pair of groups is met once, from the smaller group's nodes. A row's bounds hold for whichever member shares
@@ -315,9 +355,14 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
     pairs = pairs.where((F.col("c") >= least) & (F.col("c") + F.least(n - F.col("last"), F.col("mn") - F.col("mlast")) >= overlap(n, F.col("mn"))))
     tried = first.unionByName(first.select(F.col("a").alias("b"), F.col("b").alias("a")))
     pairs = pairs.select(F.col("m").alias("a"), F.col("node").alias("b")).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(docs, nodes, pairs, size=size, percent=percent, broadcast_rows=broadcast_rows))
-
-    found = components(links).withColumnRenamed("comp", "c")
+    links = verify(docs, nodes, pairs, size=size, percent=percent, broadcast_rows=broadcast_rows)
+
+    # The links between groups, as links of the groups' smallest nodes.
+    for side in ("a", "b"):
+        links = links.join(groups.select(F.col("node").alias(side), "comp"), side, "left").withColumn(side, F.coalesce("comp", side)).drop("comp")
+    met = components(links).withColumnRenamed("comp", "c")
+    lone = met.join(groups, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    found = groups.select("node", "comp").unionByName(lone).join(met.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("c", "comp").alias("c"))
     joined = nodes.join(found, "node")
     low = joined.groupBy("c").agg(F.min("rep").alias("component"))
     linked = joined.join(low, "c").select("node", "component")

@@ -2,7 +2,9 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 from helpers import DOCS, awkward, frame, real
+from pyspark.sql import functions as F
 
 from loomframe.llm import jaccard as op
 
@@ -78,6 +80,7 @@ def test_made(spark):
     rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
     check(spark, frame(spark, rows), heavy_min=4)
     check(spark, frame(spark, rows), broadcast_rows=0, heavy=0)
+    check(spark, frame(spark, rows), heavy_min=2, hot=3)
 
 
 def test_last_shared_shingle_of_a_third_document(spark):
@@ -105,6 +108,40 @@ def test_last_shared_shingle_of_a_third_document(spark):
         assert {r.doc_id: r.component_id for r in op.similar(frame(spark, rows), size=1, heavy_min=k).collect()} == dict(enumerate(up))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_at_the_threshold(spark, seed):
+    """n in m1 at exactly 0.8, m2 a near copy of m1 that doesn't link with n; sets of 5 to 200 that share just enough."""
+    rng, rows = random.Random(seed), []
+    for k in range(40):
+        w = [f"t{k}x{i}" for i in range(140)]
+        rng.shuffle(w)
+        rows += [" ".join(x) for x in (w[12:112], w[:125], w[:119] + w[130:136])]
+    for k in range(60):
+        n = rng.randrange(5, 200)
+        both = min(n, -(-80 * 2 * n // 180) + rng.randrange(-1, 2))
+        w = [f"u{k}x{i}" for i in range(2 * n)]
+        rng.shuffle(w)
+        rows += [" ".join(w[:n]), " ".join(w[n - both : 2 * n - both]), " ".join(rng.sample(w[: n + 2], min(n, len(w[: n + 2]))))]
+    docs = [(i, t, None, None, 0) for i, t in enumerate(rows)]
+    sets = [set(t.split()) for t in rows]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if up[i] != up[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                lo, hi = sorted((up[i], up[j]))
+                up = [lo if x == hi else x for x in up]
+    for options in ({}, {"heavy_min": 2, "hot": 2}):
+        assert {r.doc_id: r.component_id for r in op.similar(frame(spark, docs), size=1, **options).collect()} == dict(enumerate(up))
+
+
+def test_many_rows_without_an_id(spark):
+    """Rows with a null doc_id and repeated rows: no row meets all others."""
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, f"{base} {i} {i} {i} tail", None, None, 0) for i in range(300)] + [(5, base, None, None, 0)] * 300
+    got = op.similar(frame(spark, rows).withColumns({c: F.lit(c) for c in ("row", "_row", "node", "token", "n")})).collect()
+    assert len(got) == 600 and all(r.component_id in (None, 5) for r in got) and sum(r.component_id == 5 and r.doc_id == 5 for r in got) == 300
+
+
 def test_awkward(spark):
     more = ["one two three.", "a", "A", "b c d e f g", "B c d e f g", "b c d e f g h", "  a "]
     check(spark, frame(spark, [*awkward(more), awkward()[11]]))
