@@ -15,9 +15,9 @@ from .functions import all_, all_horizontal, any_horizontal, coalesce, col, conc
 from .functions import selectors
 from .operators.eager import DataFrame, Series
 from .operators.frame import GroupBy, LazyFrame, concat
-from .sources import from_arrow, from_dict, from_dicts, from_native, from_numpy, new_series, read_csv, read_parquet, scan_csv, scan_parquet, to_native
+from .sources import from_arrow, from_dict, from_dicts, from_native, from_numpy, get_native_namespace, new_series, read_csv, read_parquet, scan_csv, scan_parquet, to_native
 
-__all__ = ["DataFrame", "Expr", "GroupBy", "LazyFrame", "Schema", "Series", "all_", "all_horizontal", "any_horizontal", "coalesce", "col", "concat", "concat_str", "corr", "cov", "dtypes", "exclude", "format", "framed", "from_arrow", "from_dict", "from_dicts", "from_native", "from_numpy", "generate_temporary_column_name", "is_ordered_categorical", "len_", "list_", "lit", "max", "max_horizontal", "mean", "mean_horizontal", "median", "min", "min_horizontal", "new_series", "nth", "read_csv", "read_parquet", "scan_csv", "scan_parquet", "selectors", "show_versions", "struct", "sum", "sum_horizontal", "to_native", "to_py_scalar", "when"]
+__all__ = ["DataFrame", "Expr", "GroupBy", "LazyFrame", "Schema", "Series", "all_", "all_horizontal", "any_horizontal", "coalesce", "col", "concat", "concat_str", "corr", "cov", "dtypes", "exclude", "format", "framed", "from_arrow", "from_dict", "from_dicts", "from_native", "from_numpy", "generate_temporary_column_name", "get_native_namespace", "is_ordered_categorical", "len_", "list_", "lit", "max", "max_horizontal", "mean", "mean_horizontal", "median", "min", "min_horizontal", "new_series", "nth", "read_csv", "read_parquet", "scan_csv", "scan_parquet", "selectors", "show_versions", "struct", "sum", "sum_horizontal", "to_native", "to_py_scalar", "when"]
 
 
 def framed(function: Callable[..., Any]) -> Callable[..., Any]:

@@ -193,14 +193,15 @@ class Expr:
     # --- aggregates ---
     def sum(self) -> Expr:
         def fn(a: Agg) -> Column:
-            kind = a.ctx.dtype(a.c)
-            c = a.c.cast("long") if isinstance(kind, T.BooleanType) else a.c
-            return F.coalesce(a(F.sum_distinct(c) if a.distinct and not a.windowed else F.sum(c)), F.lit(0))
+            once = a.distinct
+            c = a.raw if once else a.c
+            c = c.cast("long") if isinstance(a.ctx.dtype(c), T.BooleanType) else c
+            return F.coalesce(a(F.sum_distinct(c) if once else F.sum(c)), F.lit(0))
 
         return self._agg(fn)
 
     def mean(self) -> Expr:
-        return self._agg(lambda a: a(F.avg(a.c.cast("double") if isinstance(a.ctx.dtype(a.c), T.BooleanType) else a.c) if not a.distinct else F.sum_distinct(a.c) / F.count_distinct(a.c)))
+        return self._agg(lambda a: a(F.avg(a.c.cast("double") if isinstance(a.ctx.dtype(a.c), T.BooleanType) else a.c)))
 
     def median(self) -> Expr:
         def fn(a: Agg) -> Column:
@@ -217,16 +218,26 @@ class Expr:
         return self._agg(lambda a: a(F.max(a.c)))
 
     def count(self) -> Expr:
-        return self._agg(lambda a: a(F.count_distinct(a.c) if a.distinct else F.count(a.c)))
+        return self._agg(lambda a: a(F.count_distinct(a.raw) if a.distinct else F.count(a.c)))
 
     def len(self) -> Expr:
-        return self._agg(lambda a: a.n_unique() if a.distinct else a(a.rows()))
+        def fn(a: Agg) -> Column:
+            if a.distinct:
+                return a.n_unique()
+            _ = a.c  # sets the condition
+            return a(a.rows())
+
+        return self._agg(fn)
 
     def n_unique(self) -> Expr:
         return self._agg(lambda a: a.n_unique())
 
     def null_count(self) -> Expr:
-        return self._agg(lambda a: a(F.count_if(a.c.isNull() if a.mask is None else a.mask & a.c.isNull())))
+        def fn(a: Agg) -> Column:
+            null = a.c.isNull()
+            return a(F.count_if(null if a.mask is None else a.mask & null))
+
+        return self._agg(fn)
 
     def any(self) -> Expr:
         return self._agg(lambda a: F.coalesce(a(F.bool_or(a.c)), F.lit(False)))
@@ -265,8 +276,9 @@ class Expr:
                 raise InvalidOperationError("first and last depend on the order of rows: give order_by")
             # Nulls sort first: a flag before each key. The struct around the value keeps null values.
             key = F.struct(*[x for k, o in enumerate(order) for x in (o.isNotNull().alias(f"n{k}"), o.alias(f"k{k}"))])
+            value = F.struct(a.c.alias("v"))
             key = key if a.mask is None else F.when(a.mask, key)
-            return a((F.max_by if last else F.min_by)(F.struct(a.c.alias("v")), key))["v"]
+            return a((F.max_by if last else F.min_by)(value, key))["v"]
 
         return self._agg(fn, *keys)
 
@@ -274,9 +286,12 @@ class Expr:
         return self._agg(lambda a: a(F.any_value(a.c, F.lit(ignore_nulls))))
 
     def mode(self, *, keep: str = "all") -> Expr:
-        """keep='any': one most frequent value (the smallest). keep='all' is for eager frames: see `Series.mode`."""
+        """keep='any': one most frequent value (the smallest); keep='all': each of them once, for an aggregate that has
+        to follow (an eager frame may also select them)."""
         if keep == "any":
             return self._agg(lambda a: a(F.mode(a.c, True)))
+        if keep != "all":
+            raise ValueError(f"keep {keep!r}")
         return Expr("filt", None, (self,), label="mode")
 
     # --- before an aggregate ---
@@ -430,7 +445,7 @@ class Expr:
         return self._rolling(lambda c, w: F.sqrt(N.rescaled(F.var_pop(c).over(w), F.count(c).over(w), ddof)), window_size, min_samples, center)
 
     def ewm_mean(self, *, com: float | None = None, span: float | None = None, half_life: float | None = None, alpha: float | None = None, adjust: bool = True, min_samples: int = 1, ignore_nulls: bool = False) -> Expr:
-        """Exponentially weighted mean; null rows stay null. Older rows than a double can tell are left out."""
+        """Exponentially weighted mean over all rows so far; null rows stay null."""
         given = [x is not None for x in (com, span, half_life, alpha)]
         if sum(given) != 1:
             raise ValueError("give one of com, span, half_life, alpha")

@@ -88,8 +88,13 @@ class StrAccessor:
         return self.e._map((lambda c: F.to_date(c)) if format is None else (lambda c: F.to_date(c, spark_pattern(format))))
 
     def to_time(self, format: str | None = None) -> Any:
-        """Needs spark.sql.timeType.enabled."""
-        return self.e._map((lambda c: F.call_function("to_time", c)) if format is None else (lambda c: F.call_function("to_time", c, F.lit(spark_pattern(format)))))
+        """Spark's time type is switched on for the session, if it isn't."""
+
+        def fn(ctx: Any, c: Column) -> Column:
+            ctx.top.df.sparkSession.conf.set("spark.sql.timeType.enabled", "true")
+            return F.call_function("to_time", c, *([] if format is None else [F.lit(spark_pattern(format))]))
+
+        return self.e._elem(fn)
 
     def to_uppercase(self) -> Any:
         return self.e._map(F.upper)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .. import dtypes as dt
 from ..errors import ColumnNotFoundError, DuplicateError, InvalidOperationError
 from ..expr import Expr, col, flat, into
+from ..plans import ranges
 from ..plans.lower import Context, Named, has_window, lower, ref, temp_name
 
 ROW = "__loom_row"
@@ -132,12 +133,12 @@ class LazyFrame:
         ctx = self._context()
         cols = [c for k in keys for _, c in lower(into(k, name=True), ctx)]
         ctx.flush()
-        kinds = {(False, False): "asc_nulls_first", (False, True): "asc_nulls_last", (True, False): "desc_nulls_first", (True, True): "desc_nulls_last"}
-        order = [getattr(c, kinds[d, nulls_last])() for c, d in zip(cols, flags, strict=True)]
+        order = [ranges.Key(c, d, nulls_last) for c, d in zip(cols, flags, strict=True)]
         if not self._has_row:
-            return self._new(ctx.df.orderBy(*order).select(*[ref(c) for c in self.columns]))
-        out = ctx.df.withColumn(ROW, F.row_number().over(Window.orderBy(*order, ROW)) - 1)
-        return self._new(out.select(*[ref(c) for c in self._df.columns]))
+            return self._new(ctx.df.orderBy(*[k.sorting() for k in order]).select(*[ref(c) for c in self.columns]))
+        at = temp_name()
+        out = ranges.numbered(ctx.df, [*order, ranges.Key(ref(ROW))], at)
+        return self._new(out.select(*[(ref(at) if c == ROW else ref(c)).alias(c) for c in self._df.columns]))
 
     def top_k(self, k: int, *, by: Any, reverse: bool | list[bool] = False) -> Any:
         keys = flat(by)
@@ -169,8 +170,7 @@ class LazyFrame:
         return self._new(out.where(ref(mark) == 1).drop(mark))
 
     def with_row_index(self, name: str = "index", *, order_by: Any = None) -> Any:
-        """0-based numbers in the order given. Where the first key is a number or a time, rows are numbered in 64
-        ranges of it and the ranges' counts added, so that no single task sorts all rows."""
+        """0-based numbers in the order given, made in ranges of the keys (`plans.ranges`); no single task sorts all rows."""
         order = [ref(c) for c in flat([] if order_by is None else order_by)] or self._hidden()
         if not order:
             raise InvalidOperationError("with_row_index needs order_by")
@@ -250,17 +250,34 @@ class LazyFrame:
         lrows = ldf.select(*[ref(b).alias(k) for b, k in zip(lb, keys, strict=True)], ref(lo).alias(at), F.lit(1).alias(side), F.struct(*[ref(c) for c in ldf.columns]).alias(left), F.lit(None).cast(rtype).alias(right))
         rrows = rdf.select(*[ref(b).alias(k) for b, k in zip(rb, keys, strict=True)], ref(ro).alias(at), F.lit(0).alias(side), F.lit(None).cast(ltype).alias(left), inner.alias(right))
         both = lrows.unionByName(rrows)
-        # A plain frame without `by` has one window for all rows: its left keys are cut into ranges by the caller where that matters.
+        if not keys:  # ranges of the key take the place of `by`, and hand their last right rows on
+            part = temp_name("p")
+            both, n = ranges.ranged(both, [ranges.Key(ref(at))], part)
+            keys = [part]
         order = lambda up: Window.partitionBy(*keys).orderBy(ref(at).asc_nulls_first() if up else ref(at).desc_nulls_last(), ref(side), ref(right)).rowsBetween(Window.unboundedPreceding, 0)
-        back, forth = F.last(ref(right), ignorenulls=True).over(order(True)), F.last(ref(right), ignorenulls=True).over(order(False))
+
+        def carried(df: SparkFrame, up: bool, name: str) -> SparkFrame:
+            """The last right row in the direction, at each row."""
+            own = F.last(ref(right), ignorenulls=True).over(order(up))
+            if lb or n == 1:
+                return df.withColumn(name, own)
+            # Of the rows with the last key the largest, as in the windows.
+            ends = df.where(ref(side) == 0).groupBy(ref(part), ref(at)).agg(F.max(ref(right)).alias("e"))
+            ends = ends.groupBy(ref(part)).agg((F.max_by if up else F.min_by)("e", ref(at)).alias("e"))
+            ends = df.select(ref(part)).distinct().join(ends, part, "left")  # a row per range
+            over = Window.orderBy(ref(part).asc() if up else ref(part).desc()).rowsBetween(Window.unboundedPreceding, -1)
+            ends = ends.select(ref(part), F.last("e", ignorenulls=True).over(over).alias("e"))
+            out = df.withColumn(name, own).join(F.broadcast(ends), part)
+            return out.withColumn(name, F.coalesce(ref(name), ref("e"))).drop("e")
+
         if strategy == "nearest":
-            both = both.withColumns({temp_name("x"): F.lit(0)}).withColumns({"__loom_back": back, "__loom_forth": forth})
-            gap = lambda a, b: a - b
+            both = carried(carried(both, True, "__loom_back"), False, "__loom_forth")
             b, f = ref("__loom_back"), ref("__loom_forth")
-            hit = F.when(b.isNull(), f).when(f.isNull(), b).when(gap(ref(at), b["k"]) <= gap(f["k"], ref(at)), b).otherwise(f)
+            hit = F.when(b.isNull(), f).when(f.isNull(), b).when(ref(at) - b["k"] <= f["k"] - ref(at), b).otherwise(f)
+            both = both.withColumn("__loom_hit", hit)
         else:
-            hit = back if strategy == "backward" else forth
-        both = both.withColumn("__loom_hit", hit).where(ref(side) == 1)
+            both = carried(both, strategy == "backward", "__loom_hit")
+        both = both.where(ref(side) == 1)
         got = F.when(ref(at).isNotNull(), ref("__loom_hit"))
         mine = set(self.columns)
         named = [(c, ref(left)[c]) for c in self.columns] + [(c + suffix if c in mine else c, got["v"][c]) for c in rest]
@@ -313,19 +330,7 @@ class LazyFrame:
 
 def numbered(df: SparkFrame, order: list[Column], name: str) -> SparkFrame:
     """0-based row numbers in `order` (nulls first)."""
-    by = [c.asc_nulls_first() for c in order]
-    kind = df.select(order[0].alias("k")).schema[0].dataType
-    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*by)) - 1).cast("long"))
-    cuts = df.agg(F.percentile_approx(order[0] if isinstance(kind, T.NumericType) else order[0].cast("timestamp"), [k / 64 for k in range(1, 64)]).alias("c"))
-    part, base = temp_name(), temp_name()
-    key = order[0] if isinstance(kind, T.NumericType) else order[0].cast("timestamp")
-    cut = df.crossJoin(F.broadcast(cuts.withColumnRenamed("c", base)))  # one row
-    cut = cut.withColumn(part, F.coalesce(F.size(F.filter(ref(base), lambda x: x <= key)), F.lit(0)) + key.isNotNull().cast("int")).drop(base)
-    counts = cut.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-    bases = counts.select(ref(part), (F.sum("n").over(Window.orderBy(ref(part)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias(base))  # 65 rows at most
-    out = cut.withColumn(name, F.row_number().over(Window.partitionBy(ref(part)).orderBy(*by)) - 1)
-    return out.join(F.broadcast(bases), part).withColumn(name, (ref(name) + ref(base)).cast("long")).drop(part, base)
+    return ranges.numbered(df, [ranges.Key(c) for c in order], name)
 
 
 class GroupBy:
@@ -344,7 +349,7 @@ class GroupBy:
         if self.drop_null_keys:
             for _, t in temps:
                 df = df.where(ref(t).isNotNull())
-        ctx = Context(df, mode="agg", order=ctx.order, skip=tuple(n for n, _ in temps))
+        ctx = Context(df, mode="agg", order=ctx.order, skip=tuple(n for n, _ in temps), groups=tuple(ref(t) for _, t in temps))
         return ctx, temps
 
     def agg(self, *aggs: Any, **named_aggs: Any) -> Any:

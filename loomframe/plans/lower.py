@@ -51,7 +51,8 @@ class Context:
     order: tuple[Column, ...] = ()  # the row order of an eager frame
     hidden: tuple[str, ...] = ()  # columns that expressions don't see
     skip: tuple[str, ...] = ()  # group keys: not part of all()
-    pending: list[Column] = field(default_factory=list)
+    groups: tuple[Column, ...] = ()  # the group keys' columns
+    pending: dict[str, Column] = field(default_factory=dict)
     boss: Context | None = None
 
     # --- the frame ---
@@ -63,30 +64,41 @@ class Context:
         return [c for c in self.top.df.columns if c not in self.hidden and c not in self.skip and not c.startswith("__loom_")]
 
     def within(self, **change: Any) -> Context:
-        base = {"mode": self.mode, "window": self.window, "order": self.order, "hidden": self.hidden, "skip": self.skip} | change
+        base = {"mode": self.mode, "window": self.window, "order": self.order, "hidden": self.hidden, "skip": self.skip, "groups": self.groups} | change
         return Context(self.top.df, boss=self.top, **base)
 
     def flush(self) -> None:
         """Join the aggregates that are asked for beside rows, as one row."""
         top = self.top
         if top.pending:
-            one, top.pending = top.df.agg(*top.pending), []
+            one = top.df.agg(*[c.alias(n) for n, c in top.pending.items()])
+            top.pending = {}
             top.df = top.df.crossJoin(F.broadcast(one))  # a global aggregate has exactly one row
 
     def scalar(self, agg: Column) -> Column:
         name = temp_name("s")
-        self.top.pending.append(agg.alias(name))
+        self.top.pending[name] = agg
         return ref(name)
 
     def temp(self, col: Column) -> Column:
-        self.flush()
+        if any(name in str(col) for name in self.top.pending):
+            self.flush()
         name = temp_name()
         self.top.df = self.top.df.withColumn(name, col)
         return ref(name)
 
     def dtype(self, col: Column) -> T.DataType:
-        self.flush()
-        return self.top.df.select(col.alias("x")).schema[0].dataType
+        """The type of a column; aggregates that aren't joined yet are nulls of their types for that."""
+        top = self.top
+        df = top.df
+        if used := {n: c for n, c in top.pending.items() if n in str(col)}:
+            kinds = df.agg(*[c.alias(n) for n, c in used.items()]).schema
+            df = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in kinds})
+        return df.select(col.alias("x")).schema[0].dataType
+
+    def keys(self) -> tuple[Column, ...]:
+        """What the rows of an aggregate have in common."""
+        return self.window.keys if self.window is not None else self.groups if self.mode == "agg" else ()
 
     # --- windows ---
     def agg(self) -> Callable[[Column], Column]:
@@ -143,7 +155,7 @@ def lower(expr: Expr, ctx: Context) -> Named:
         inner = lower(expr.args[0], ctx)
         return [(expr.fn(root, name), c) for (name, c), root in zip(inner, roots(expr.args[0], ctx, inner), strict=True)]
     if kind == "filt":
-        raise InvalidOperationError(f"{expr.label} changes the number of rows; an aggregate has to follow")
+        raise InvalidOperationError(f"{expr.label} changes the number of rows; an aggregate has to follow (or use an eager series)")
     if kind == "over":
         keys, order = expr.extra
         inner_ctx = ctx.within(window=None, mode="rows")
@@ -151,12 +163,12 @@ def lower(expr: Expr, ctx: Context) -> Named:
         cols = [tuple(c for k in part for _, c in lower(k, inner_ctx)) for part in (keys, order)]
         return lower(expr.args[0], ctx.within(window=Over(*cols), mode="rows"))
     if kind == "agg":
-        base, mask, distinct = peel(expr.args[0], ctx)
+        base, mask, only = peel(expr.args[0], ctx)
         others = [lower_arg(a, ctx) for a in expr.args[1:]]
         out = []
         for name, c in base:
             got = c if mask is None else F.when(mask, c)
-            spec = Agg(ctx, got, mask, distinct, [one(o) for o in others])
+            spec = Agg(ctx, got, mask, only, [one(o) for o in others])
             out.append((name, expr.fn(spec)))
         return out
     if kind == "win":
@@ -175,21 +187,26 @@ def lower_arg(expr: Expr, ctx: Context) -> Named:
     return [(n, ctx.temp(c)) for n, c in inner] if nested else inner
 
 
-def peel(expr: Expr, ctx: Context) -> tuple[Named, Column | None, bool]:
-    """The operand of an aggregate without filters before it: columns, row condition, distinct?"""
-    mask, distinct = None, False
+def peel(expr: Expr, ctx: Context) -> tuple[Named, Column | None, str]:
+    """The operand of an aggregate without filters before it: columns, row condition, and which of the values count:
+    all (""), each once ("unique") or each of the most frequent once ("mode")."""
+    mask, only = None, ""
     conditions = []
     while expr.kind == "filt":
         conditions.append(expr)
         expr = expr.args[0]
     base = lower_arg(expr, ctx)
     for f in reversed(conditions):
-        if f.label == "unique":
-            distinct = True
+        if f.label in ("unique", "mode"):
+            if f.label == "mode" and only:
+                raise InvalidOperationError("mode of unique values")
+            only = only or f.label
             continue
+        if only and f.label == "filter":
+            raise InvalidOperationError(f"filter after {only}: put it before")
         more = f.fn(ctx, one(base), *(one(lower_arg(a, ctx)) for a in f.args[1:]))
         mask = more if mask is None else mask & more
-    return base, mask, distinct
+    return base, mask, only
 
 
 @dataclass
@@ -197,9 +214,9 @@ class Agg:
     """What an aggregate function gets: its column (null where masked), the condition, and how to place results."""
 
     ctx: Context
-    c: Column
+    raw: Column
     mask: Column | None
-    distinct: bool
+    only: str
     others: list[Column]
 
     def __call__(self, a: Column) -> Column:
@@ -209,13 +226,39 @@ class Agg:
     def windowed(self) -> bool:
         return self.ctx.window is not None and bool(self.ctx.window.keys)
 
+    @property
+    def distinct(self) -> bool:
+        """May the aggregate's own DISTINCT be used? Windows don't know it."""
+        return self.only == "unique" and not self.windowed
+
+    @property
+    def c(self) -> Column:
+        """The values that count, nulls elsewhere: one row of each value is marked where each counts once."""
+        if self.only:
+            ctx, keys = self.ctx, self.ctx.keys()
+            alike = [*keys, self.raw, *([] if self.mask is None else [self.mask])]
+            counts = F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(1))) == 1
+            counts = counts if self.mask is None else counts & self.mask
+            if self.only == "mode":  # nulls are no mode
+                often = ctx.temp(F.when(self.raw.isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(*alike))))
+                most = ctx.temp(F.max(often).over(Window.partitionBy(*keys))) if keys else ctx.within(mode="rows", window=None).scalar(F.max(often))
+                counts = counts & F.coalesce(often == most, F.lit(False))
+                ctx.flush()
+            flag = ctx.temp(counts)
+            self.raw, self.mask, self.only = F.when(flag, self.raw), flag, ""
+        return self.raw
+
     def rows(self) -> Column:
         return F.count(F.lit(1) if self.mask is None else F.when(self.mask, F.lit(1)))
 
     def n_unique(self) -> Column:
-        null = F.max((self.c.isNull() if self.mask is None else (self.mask & self.c.isNull())).cast("int"))
-        values = F.size(self(F.collect_set(self.c))) if self.windowed else self(F.count_distinct(self.c))
-        return (values + F.coalesce(self(null), F.lit(0))).cast("long")
+        if self.only == "mode" or self.windowed:
+            self.only = self.only or "unique"
+            c = self.c  # sets the condition
+            return (self(F.count(c)) + F.coalesce(self(F.max((self.mask & c.isNull()).cast("int"))), F.lit(0))).cast("long")
+        c = self.raw
+        null = F.max((c.isNull() if self.mask is None else (self.mask & c.isNull())).cast("int"))
+        return (self(F.count_distinct(c)) + F.coalesce(self(null), F.lit(0))).cast("long")
 
 
 def roots(expr: Expr, ctx: Context, inner: Named) -> list[str]:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import dtypes as dt
 from ..errors import InvalidOperationError
-from .lower import Agg, Context, window
+from .lower import Agg, Context, Over, ref, temp_name, window
 
 
 def is_float(ctx: Context, c: Column) -> bool:
@@ -62,9 +62,15 @@ def modulo(ctx: Context, n: Column, d: Column) -> Column:
 
 
 def power(ctx: Context, a: Column, b: Column) -> Column:
+    """Powers of whole numbers are multiplied out, exactly; an overflow is an error, as for products."""
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    out = F.pow(a, b)
-    return out.cast("long") if isinstance(ctx.dtype(a), whole) and isinstance(ctx.dtype(b), whole) else out
+    if not (isinstance(ctx.dtype(a), whole) and isinstance(ctx.dtype(b), whole)):
+        return F.pow(a, b)
+    a, b = a.cast("long"), b.cast("int")
+    small = F.when(a == -1, F.when(b % 2 == 0, F.lit(1)).otherwise(-1)).otherwise(a)  # -1, 0 and 1 never overflow
+    steps = F.sequence(F.lit(1), F.least(b, F.lit(64)))
+    product = F.aggregate(steps, F.lit(1).cast("long"), lambda x, _: x * a)
+    return F.when(b < 0, F.pow(a, b).cast("long")).when(b == 0, F.lit(1).cast("long")).when(F.abs(a) < 2, small.cast("long")).when(a.isNotNull() & b.isNotNull(), product)
 
 
 def rescaled(pop: Column, n: Column, ddof: int) -> Column:
@@ -113,6 +119,8 @@ def rank(ctx: Context, c: Column, method: str, descending: bool) -> Column:
     extra = (ctx.window.order if ctx.window else ()) or ctx.order
     by = [c.desc_nulls_last() if descending else c.asc_nulls_last()]
     w = Window.partitionBy(*keys).orderBy(*by)
+    if not keys:
+        return _rank_of_all(ctx, c, method, descending, extra)
     if method == "ordinal":
         out = F.row_number().over(Window.partitionBy(*keys).orderBy(*by, *[x.asc_nulls_first() for x in extra]))
     elif method == "dense":
@@ -123,30 +131,62 @@ def rank(ctx: Context, c: Column, method: str, descending: bool) -> Column:
     return F.when(c.isNotNull(), out)
 
 
+def _rank_of_all(ctx: Context, c: Column, method: str, descending: bool, extra: tuple[Column, ...]) -> Column:
+    """Ranks over the whole frame, by ranges: its values are counted and joined back, or its rows numbered."""
+    from . import ranges
+
+    c, name = ctx.temp(c), temp_name("r")
+    top = ctx.top
+    ctx.flush()
+    if method == "ordinal":
+        top.df = ranges.numbered(top.df, [ranges.Key(c, descending, True), *[ranges.Key(x) for x in extra]], name)
+        return F.when(c.isNotNull(), ref(name) + 1)
+    found = ranges.ranks(top.df, c, descending)
+    value = {"min": F.col("lo") + 1, "max": F.col("lo") + F.col("n"), "average": F.col("lo") + (F.col("n") + 1) / 2, "dense": F.col("dense") + 1}[method]
+    at = temp_name("v")
+    found = found.select(ref("v").alias(at), value.alias(name))
+    top.df = top.df.join(found, c == ref(at), "left").drop(at)
+    return ref(name)
+
+
+#: A block of rows in which old weights fall by e ** WIDTH: what is older than the block before can't be told in a double.
+WIDTH = 100.0
+
+
 def ewm(ctx: Context, c: Column, alpha: float, adjust: bool, min_samples: int, ignore_nulls: bool) -> Column:
+    """The weighted sums of all rows so far, as running sums. With l the log of how far the weights of the first row
+    have fallen at a row, a row's weight at a later one is exp(l - l'); running sums of x * exp(l) overflow, so l is
+    counted within blocks of WIDTH, and each block takes the sums of the one before with it."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
     o = ctx.ordered("ewm_mean")
-    keep = 1 - alpha
-    reach = min(4000, max(1, math.ceil(math.log(1e-18) / math.log(keep)))) if keep > 0 else 1
-    if ignore_nulls:
-        values = F.collect_list(c).over(window(o, None, 0))  # nulls aren't collected
-        values = F.slice(values, F.greatest(F.size(values) - reach + 1, F.lit(1)), F.lit(reach))
-    else:
-        values = F.transform(F.collect_list(F.struct(c.cast("double").alias("v"))).over(window(o, -reach, 0)), lambda x: x["v"])
-    new = 1.0 if adjust else alpha
-    zero = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("w"))
-
-    def step(acc: Column, x: Column) -> Column:
-        w = acc["w"] * keep
-        x = x.cast("double")
-        y = F.when(x.isNull(), acc["y"]).when(acc["y"].isNull(), x).otherwise((w * acc["y"] + new * x) / (w + new))
-        total = F.when(x.isNull(), w).when(acc["y"].isNull(), F.lit(1.0)).otherwise(w + new if adjust else F.lit(1.0))
-        return F.struct(y.alias("y"), total.alias("w"))
-
-    out = F.aggregate(values, zero, step)["y"]
     seen = F.count(c).over(window(o, None, 0))
-    return F.when(c.isNotNull() & (seen >= min_samples), out)
+    if alpha == 1:
+        return F.when(c.isNotNull() & (seen >= min_samples), c.cast("double"))
+    fall, some = -math.log1p(-alpha), c.isNotNull()
+    at = ctx.temp(seen if ignore_nulls else F.row_number().over(in_order(ctx, "ewm_mean")).cast("long"))
+    own = F.lit(1.0)
+    if adjust:
+        log = at * F.lit(fall)
+    else:  # a value's own weight is alpha, or all of it for the first; the weights before it fall to 1 - alpha together
+        gap = at - F.last(F.when(some, at), ignorenulls=True).over(window(o, None, -1))
+        gap = ctx.temp(F.when(some, gap))
+        both = F.exp(-gap * fall) + alpha
+        own = F.coalesce(alpha / both, F.lit(1.0))
+        log = F.sum(F.coalesce(gap * fall + F.log(both), F.lit(0.0))).over(window(o, None, 0))
+    log = ctx.temp(log)
+    block = ctx.temp(F.floor(log / WIDTH))
+    far = ctx.temp(log - block * WIDTH)
+    inside = window(Over((*o.keys, block), o.order), None, 0)
+    num = ctx.temp(F.coalesce(F.sum(F.when(some, own * c.cast("double") * F.exp(far))).over(inside), F.lit(0.0)))
+    den = ctx.temp(F.coalesce(F.sum(F.when(some, F.exp(far))).over(inside), F.lit(0.0))) if adjust else F.lit(0.0)
+    ends = ctx.temp(F.when(F.lead(block).over(in_order(ctx, "ewm_mean")) != block, F.struct(block.alias("b"), num.alias("num"), den.alias("den"))))
+    before = ctx.temp(F.last(ends, ignorenulls=True).over(window(o, None, -1)))
+    near = before["b"] == block - 1
+    fell, fell_before = F.exp(-far), F.exp(-far - WIDTH)
+    num = fell * num + F.when(near, fell_before * before["num"]).otherwise(0.0)
+    den = fell * den + F.when(near, fell_before * before["den"]).otherwise(0.0) if adjust else F.lit(1.0)
+    return F.when(some & (seen >= min_samples), num / den)
 
 
 def spearman_ready(ctx: Context, c: Column) -> Column:

@@ -208,6 +208,14 @@ _group("get_categories", lambda v: v.cat.get_categories(), "list_sort(list(DISTI
 q("corr_spearman", """WITH k AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem) SELECT round(corr(a, b), 6) AS x FROM k""", "lineitem")(lambda f: f.select(r(lf.corr("l_quantity", "l_extendedprice", method="spearman")).alias("x")))
 q("agg_top_level", "SELECT round(sum(o_totalprice), 3) AS s, round(avg(o_totalprice), 6) AS m, median(o_totalprice) AS md, min(o_totalprice) AS mn, max(o_totalprice) AS mx, count(*) AS len FROM orders", "orders")(lambda o: o.select(lf.sum("o_totalprice").round(3).alias("s"), r(lf.mean("o_totalprice")).alias("m"), lf.median("o_totalprice").alias("md"), lf.min("o_totalprice").alias("mn"), lf.max("o_totalprice").alias("mx"), lf.len_()))
 
+for _a, _s in {"std": "stddev_samp", "var": "var_samp", "median": "median", "min": "min", "max": "max", "sum": "sum", "mean": "avg"}.items():
+    q(f"agg_unique_{_a}", f"SELECT user_id, round(CAST({_s}(DISTINCT event_id % 7) AS DOUBLE), 6) AS x FROM events GROUP BY 1", "events")(lambda e, a=_a: e.group_by("user_id").agg(r(getattr((col("event_id") % 7).unique(), a)().cast(dt.Float64)).alias("x")))
+q("agg_unique_skew", "SELECT user_id, round(sum((v - m) ** 3) / count(*) / (sum((v - m) ** 2) / count(*)) ** 1.5, 6) AS x, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, avg(v) OVER (PARTITION BY user_id) AS m FROM (SELECT DISTINCT user_id, event_id % 50 AS v FROM events)) GROUP BY 1", "events")(lambda e: e.group_by("user_id").agg(r((col("event_id") % 50).unique().skew()).alias("x"), (col("event_id") % 50).unique().count().alias("n")))
+q("agg_unique_quantile", "SELECT user_id, quantile_cont(v, 0.3) AS x FROM (SELECT DISTINCT user_id, (event_id % 11)::DOUBLE AS v FROM events) GROUP BY 1", "events")(lambda e: e.group_by("user_id").agg((col("event_id") % 11).unique().quantile(0.3).alias("x")))
+q("agg_mode_all", """WITH c AS (SELECT user_id, event_id % 5 AS v, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT * FROM c QUALIFY n = max(n) OVER (PARTITION BY user_id))
+ SELECT user_id, CAST(sum(v) AS BIGINT) AS s, count(*) AS n, max(v) AS hi FROM m GROUP BY 1""", "events")(lambda e: e.group_by("user_id").agg((col("event_id") % 5).mode(keep="all").sum().alias("s"), (col("event_id") % 5).mode(keep="all").len().alias("n"), (col("event_id") % 5).mode(keep="all").max().alias("hi")))
+q("agg_mode_all_whole", "WITH c AS (SELECT o_custkey AS v, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM c WHERE n = (SELECT max(n) FROM c)", "orders")(lambda o: o.select(col("o_custkey").mode(keep="all").sum().alias("s"), col("o_custkey").mode(keep="all").len().alias("n")))
+
 # --- windows --------------------------------------------------------------------------------------------------------
 _part, _ord = "PARTITION BY user_id", "ORDER BY ts, event_id"
 _w = f"OVER ({_part} {_ord} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -249,6 +257,14 @@ _window("is_last_distinct", lambda x, o: o(x.is_last_distinct()), "row_number()
 _window("first", lambda x, o: o(x.first(order_by=["ts", "event_id"])), f"first_value(x) OVER ({_part} {_ord})", order=False)
 _window("last", lambda x, o: o(x.last()), f"last_value(x) OVER ({_part} {_ord} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 _window("ewm_mean", lambda x, o: r(o(x.ewm_mean(alpha=0.5))), "CASE WHEN x IS NOT NULL THEN (SELECT round(sum(b.x * 0.5 ^ (n - m)) / sum(CASE WHEN b.x IS NOT NULL THEN 0.5 ^ (n - m) END), 6) FROM (SELECT user_id, x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS m, event_id FROM e) b, (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e) c WHERE c.event_id = e.event_id AND b.user_id = e.user_id AND m <= n) END")
+for _a, _s in {"sum": "CAST((SELECT sum(DISTINCT b.x) FROM e b WHERE b.user_id = e.user_id) AS BIGINT)", "mean": "(SELECT round(avg(DISTINCT b.x), 6) FROM e b WHERE b.user_id = e.user_id)", "count": "(SELECT count(DISTINCT b.x) FROM e b WHERE b.user_id = e.user_id)", "std": "(SELECT round(stddev_samp(DISTINCT b.x), 6) FROM e b WHERE b.user_id = e.user_id)"}.items():
+    _window(f"unique_{_a}", lambda x, o, a=_a: (lambda y: r(y) if a in ("mean", "std") else y)(o(getattr(x.unique(), a)())), _s, order=False)
+_window("mode_all", lambda x, o: o(x.mode(keep="all").sum()), "CAST((SELECT sum(v) FROM (SELECT b.x AS v, count(*) AS n, max(count(*)) OVER () AS m FROM e b WHERE b.user_id = e.user_id AND b.x IS NOT NULL GROUP BY b.x) WHERE n = m) AS BIGINT)", order=False)
+q("win_ewm_mean_long", """WITH RECURSIVE e AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS n FROM events),
+ w AS (SELECT n, event_id, value AS num, 1.0::DOUBLE AS den FROM e WHERE n = 1 UNION ALL SELECT e.n, e.event_id, w.num * 0.9995 + e.value, w.den * 0.9995 + 1 FROM w JOIN e ON e.n = w.n + 1)
+ SELECT event_id, round(num / den, 6) AS y FROM w""", "events")(lambda e: e.with_columns(one=lit(1)).select("event_id", r(col("value").ewm_mean(alpha=0.0005).over("one", order_by="event_id")).alias("y")))
+for _m, _s in {"average": "rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0", "min": "rank() OVER (ORDER BY l_quantity)", "max": "rank() OVER (ORDER BY l_quantity) + count(*) OVER (PARTITION BY l_quantity) - 1", "dense": "dense_rank() OVER (ORDER BY l_quantity)"}.items():
+    q(f"rank_all_{_m}", f"SELECT l_orderkey, l_linenumber, l_partkey, {_s} AS y FROM lineitem", "lineitem")(lambda f, m=_m: f.collect().select("l_orderkey", "l_linenumber", "l_partkey", col("l_quantity").rank(m).alias("y")).lazy())
 q("win_of_window", "SELECT CAST(max(s) AS BIGINT) AS m FROM (SELECT sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM events)", "events")(lambda e: e.select(col("event_id").cum_sum().over("user_id", order_by=["ts", "event_id"]).max().alias("m")))
 
 # --- row-wise expressions -------------------------------------------------------------------------------------------
@@ -372,6 +388,13 @@ _source("from_dicts", lambda s: lf.from_dicts(s, [{"a": 1, "b": 2.5}, {"a": 3}])
 _source("from_numpy", _numpy, "SELECT * FROM (VALUES (0.0::DOUBLE, 1.0::DOUBLE), (2.0, 3.0), (4.0, 5.0)) t(a, b)")
 _source("from_arrow", _arrow, "SELECT * FROM (VALUES (1, 'x'), (NULL, 'y')) t(a, b)")
 _source("new_series", lambda s: lf.new_series(s, "a", [3, 1, 2], dt.Int32).to_frame(), "SELECT * FROM (VALUES (3), (1), (2)) t(a)")
+q("frame_with_row_index_strings", "SELECT row_number() OVER (ORDER BY l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS index, l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM lineitem", "lineitem")(lambda f: f.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").with_row_index(order_by=["l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]))
+q("eager_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey) - 1 AS index FROM orders", "orders")(lambda o: o.collect().sort("o_orderkey").sort("o_orderstatus", "o_totalprice", descending=[True, False]).with_row_index().select("o_orderkey", "index").lazy())
+for _how, _op, _dir in (("backward", "<=", "DESC"), ("forward", ">=", "ASC")):
+    q(f"join_asof_plain_{_how}", f"SELECT o_orderkey, (SELECT s_suppkey FROM supplier WHERE s_acctbal {_op} o_totalprice ORDER BY s_acctbal {_dir}, s_suppkey DESC LIMIT 1) AS s_suppkey FROM orders", "orders", "supplier")(lambda o, s, h=_how: o.join_asof(s.select("s_acctbal", "s_suppkey"), left_on="o_totalprice", right_on="s_acctbal", strategy=h).select("o_orderkey", "s_suppkey"))
+q("join_asof_plain_nearest", "SELECT o_orderkey, (SELECT round(s_acctbal, 4) FROM supplier ORDER BY abs(s_acctbal - o_totalprice / 50), s_acctbal LIMIT 1) AS s FROM orders", "orders", "supplier")(lambda o, s: o.with_columns(x=col("o_totalprice") / 50).join_asof(s.select("s_acctbal"), left_on="x", right_on="s_acctbal", strategy="nearest").select("o_orderkey", col("s_acctbal").round(4).alias("s")))
 q("source_scan_parquet", "SELECT * FROM region", "region")(lambda g: g)
 q("frame_lazy_collect", "SELECT * FROM nation", "nation")(lambda n: n.collect().lazy())
 q("win_unpartitioned", "SELECT n_nationkey, sum(n_regionkey) OVER (ORDER BY n_nationkey) AS s FROM nation", "nation")(lambda n: n.select("n_nationkey", col("n_regionkey").cum_sum().over(order_by="n_nationkey").alias("s")))
+
+from . import conversions, tpch  # noqa: E402, F401  (they register theirs)

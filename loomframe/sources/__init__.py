@@ -78,3 +78,13 @@ def from_native(native: Any, *, eager: bool = False) -> Any:
 
 def to_native(frame: Any) -> Any:
     return frame.to_native() if hasattr(frame, "to_native") else frame
+
+
+def get_native_namespace(*frames: Any) -> Any:
+    """The module whose objects the frames wrap: there is one engine."""
+    import pyspark.sql
+
+    for f in frames:
+        if not isinstance(to_native(f), SparkFrame):
+            raise TypeError(f"{type(f).__name__} is no frame")
+    return pyspark.sql

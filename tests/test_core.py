@@ -158,3 +158,85 @@ def test_files_and_stream(spark, d, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(tuple(r) for r in spark.sql("SELECT * FROM sums").collect()) == [("p", 8), ("q", 12)]
+
+
+@pytest.mark.parametrize("adjust", [True, False])
+@pytest.mark.parametrize("ignore_nulls", [True, False])
+@pytest.mark.parametrize("alpha", [0.0005, 0.3, 0.97])
+def test_ewm_mean_of_long_columns(spark, alpha, adjust, ignore_nulls):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    x = pd.Series(rng.normal(50, 20, 10_000)).where(rng.random(10_000) > 0.2)
+    x[3000:5500] = None
+    got = lf.from_dict(spark, {"x": [None if math.isnan(v) else v for v in x]}).select(c("x").ewm_mean(alpha=alpha, adjust=adjust, ignore_nulls=ignore_nulls)).to_dict(as_series=False)["x"]
+    want = x.ewm(alpha=alpha, adjust=adjust, ignore_na=ignore_nulls).mean().where(x.notna())
+    assert [v is None for v in got] == want.isna().tolist()
+    assert np.allclose([v for v in got if v is not None], want.dropna(), rtol=1e-9)
+
+
+def test_values_that_count_once(spark):
+    d = lf.from_dict(spark, {"x": [1, 1, 1, 5, None, None], "g": ["a", "a", "a", "a", "b", "b"]})
+    u, m = c("x").unique(), c("x").mode(keep="all")
+    out = get(d.lazy().select(s=u.std(), md=u.median(), v=u.var(), q=u.quantile(1.0), k=u.null_count(), n=u.len(), c=u.count(), me=u.mean(), ms=m.sum(), ml=m.len()))
+    assert {k: round(v[0], 4) for k, v in out.items()} == {"s": 2.8284, "md": 3.0, "v": 8.0, "q": 5.0, "k": 1, "n": 3, "c": 2, "me": 3.0, "ms": 1, "ml": 1}
+    out = get(d.lazy().select("g", s=u.sum().over("g"), m=u.mean().over("g"), n=u.count().over("g"), le=u.len().over("g"), mo=m.max().over("g")).unique(), "g")
+    assert out == {"g": ["a", "b"], "s": [6, 0], "m": [3.0, None], "n": [2, 0], "le": [2, 1], "mo": [1, None]}
+    out = get(d.lazy().filter(c("g") == "a").group_by("g").agg(u.std().round(4).alias("s"), c("x").filter(c("x") > 1).unique().len().alias("n"), m.min().alias("m")))
+    assert out == {"g": ["a"], "s": [2.8284], "n": [1], "m": [1]}
+    two = lf.from_dict(spark, {"x": [2, 2, 7, 7, 1]})
+    assert get(two.lazy().select(c("x").mode(keep="all").sum()))["x"] == [9]
+    for bad in (c("x").unique().filter(c("x") > 1).sum(), c("x").unique().mode(keep="all").len(), c("x").mode(keep="all")):
+        with pytest.raises(errors.InvalidOperationError):
+            two.lazy().select(bad)
+
+
+def test_powers_are_exact(spark):
+    d = lf.from_dict(spark, {"a": [3, -3, 2, -1, 0, 10, 1, None], "b": [39, 39, 62, 10**6 + 1, 5, 18, 10**9, 2]})
+    assert get(d.select(c("a") ** c("b")))["a"] == [3**39, -(3**39), 2**62, -1, 0, 10**18, 1, None]
+
+
+def plan_of(frame):
+    return frame.to_native()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_orders_in_ranges(spark):
+    """Numbers, sorts, ranks and as-of joins over whole frames, against Python, with ties, nulls and both directions."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "b", "a", "c"]), rng.choice([None, 1.5, -2.0, math.nan, 7.0]), i) for i in range(500)]
+    d = lf.from_dict(spark, {"s": [r[0] for r in rows], "x": [r[1] for r in rows], "i": [r[2] for r in rows]})
+    num = lambda v: math.inf if v is not None and math.isnan(v) else v
+    key = lambda v, desc=False, last=False: ((v is None) == last, 0 if v is None else v)
+    want = sorted(rows, key=lambda r: (key(r[0]), key(num(r[1])), r[2]))
+    got = d.lazy().with_row_index(order_by=["s", "x", "i"])
+    assert [r["i"] for r in sorted(got.to_native().collect(), key=lambda r: r["index"])] == [r[2] for r in want]
+    for last in (False, True):
+        want = sorted(rows, key=lambda r: r[2])
+        want = sorted(want, key=lambda r: -math.inf if r[1] is None else -num(r[1]))
+        want = [r for r in want if (r[1] is None) != last] + [r for r in want if (r[1] is None) == last]
+        assert get(d.sort("x", descending=True, nulls_last=last))["i"] == [r[2] for r in want]
+    both = [r for r in rows if r[1] is not None and not math.isnan(r[1])]
+    p = lf.from_dict(spark, {"x": [r[1] for r in both]})
+    lo = [sum(q[1] < r[1] for q in both) for r in both]
+    n = [sum(q[1] == r[1] for q in both) for r in both]
+    assert get(p.select(c("x").rank("min")))["x"] == [a + 1 for a in lo]
+    assert get(p.select(c("x").rank("average")))["x"] == [a + (b + 1) / 2 for a, b in zip(lo, n)]
+    assert sorted(get(p.select(c("x").rank("ordinal")))["x"]) == list(range(1, len(both) + 1))
+    right = lf.from_dict(spark, {"t": [10, 10, 50, 400], "v": [1, 2, 3, 4]})
+    back = get(d.select("i").join_asof(right, left_on="i", right_on="t"))["v"]
+    assert back == [None if i < 10 else 2 if i < 50 else 3 if i < 400 else 4 for i in range(500)]
+    forth = get(d.select("i").join_asof(right, left_on="i", right_on="t", strategy="forward"))["v"]
+    assert forth == [2 if i <= 10 else 3 if i <= 50 else 4 if i <= 400 else None for i in range(500)]
+    near = get(d.select("i").join_asof(right, left_on="i", right_on="t", strategy="nearest"))["v"]
+    assert near == [2 if i <= 30 else 3 if i <= 225 else 4 for i in range(500)]
+    for e in (lf.from_dict(spark, {"x": []}, {"x": dt.Int64}), lf.from_dict(spark, {"x": [1]})):
+        assert get(e.sort("x").with_row_index())["index"] == list(range(len(e)))
+
+
+def test_aggregates_beside_rows_are_one_aggregation(spark):
+    d = lf.from_dict(spark, {"a": [1, 2, 3], "b": [1.0, 2.0, 4.0]}).lazy()
+    out = d.select(x=c("a") - c("a").mean(), y=c("b") // c("b").max(), z=(c("a").sum() + c("b").std()) * c("b"))
+    assert plan_of(out).count("Join") == 1 and plan_of(out).count("Aggregate") == 1
