@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lower import ref, temp_name
 
 #: The most ranges, and sampled keys for each of them.
-MOST, SAMPLED = 1024, 20
+MOST, SAMPLED = 1024, 50
 
 
 @dataclass
@@ -45,24 +46,33 @@ def _reached(bound: Column, keys: list[Key], values: list[Column]) -> Column:
 
 
 def ranged(df: DataFrame, keys: list[Key], name: str) -> tuple[DataFrame, int]:
-    """Add the number of each row's range (0 and up, in the keys' order); returns the frame and how many there are."""
+    """Add the number of each row's range (0 and up, in the keys' order); returns the frame and how many there are: one
+    for a frame of fewer rows than would be sampled."""
+    import numpy as np
+    import pyarrow as pa
+
     spark = df.sparkSession
     n = max(1, min(MOST, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     picked = df.select(*[k.col.alias(f"k{i}") for i, k in enumerate(keys)])
-    rows = [] if n == 1 else picked.orderBy(F.rand(1)).limit(n * SAMPLED).orderBy(*[Key(ref(f"k{i}"), k.descending, k.nulls_last).sorting() for i, k in enumerate(keys)]).collect()
-    bounds = rows[SAMPLED::SAMPLED]
-    if not bounds:
+    if n > 1:
+        by = [Key(ref(f"k{i}"), k.descending, k.nulls_last).sorting() for i, k in enumerate(keys)]
+        sample = picked.orderBy(F.rand(1)).limit(n * SAMPLED).orderBy(*by).toArrow()
+    if n == 1 or sample.num_rows < n * SAMPLED:
         return df.withColumn(name, F.lit(0)), 1
-    step = math.isqrt(len(bounds) - 1) + 1
-    table = spark.createDataFrame([(i // step, i, r) for i, r in enumerate(bounds)], f"block int, i int, b {picked.schema.simpleString()}")
-    blocks = table.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("bs"))
+    bounds = sample.take(pa.array(range(SAMPLED, sample.num_rows, SAMPLED))).combine_chunks()
+    count = bounds.num_rows
+    step = math.isqrt(count - 1) + 1
+    # One row with the bounds, in blocks of `step`.
+    flat = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in bounds.columns], bounds.column_names)
+    blocks = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(0, count + step, step), count), pa.int32()), flat)
     at, values = temp_name("b"), [temp_name("k") for _ in keys]
-    one = blocks.agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "bs"))), lambda x: x["bs"]).alias(at))
+    rows = pa.table({at: pa.ListArray.from_arrays(pa.array([0, len(blocks)], pa.int32()), blocks)})
+    one = spark.createDataFrame(rows, T.StructType([T.StructField(at, T.ArrayType(T.ArrayType(picked.schema)))]))
     out = df.withColumns({v: k.col for v, k in zip(values, keys, strict=True)}).crossJoin(F.broadcast(one))  # a single row
     mine = [ref(v) for v in values]
     block = F.size(F.filter(ref(at), lambda bs: _reached(F.get(bs, F.lit(0)), keys, mine))) - 1
     inside = F.size(F.filter(F.get(ref(at), block), lambda b: _reached(b, keys, mine)))
-    return out.withColumn(name, F.when(block < 0, 0).otherwise(block * step + inside)).drop(at, *values), len(bounds) + 1
+    return out.withColumn(name, F.when(block < 0, 0).otherwise(block * step + inside)).drop(at, *values), count + 1
 
 
 def numbered(df: DataFrame, keys: list[Key], name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from loomframe import col as c
 from loomframe import dtypes as dt
 from loomframe import errors
 from loomframe import selectors as cs
+from loomframe.plans import ranges
 
 
 @pytest.fixture(scope="module")
@@ -201,10 +202,12 @@ def plan_of(frame):
     return frame.to_native()._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_orders_in_ranges(spark):
+@pytest.mark.parametrize("sampled", [4, 1000])
+def test_orders_in_ranges(spark, monkeypatch, sampled):
     """Numbers, sorts, ranks and as-of joins over whole frames, against Python, with ties, nulls and both directions."""
     import random
 
+    monkeypatch.setattr(ranges, "SAMPLED", sampled)
     rng = random.Random(4)
     rows = [(rng.choice([None, "b", "a", "c"]), rng.choice([None, 1.5, -2.0, math.nan, 7.0]), i) for i in range(500)]
     d = lf.from_dict(spark, {"s": [r[0] for r in rows], "x": [r[1] for r in rows], "i": [r[2] for r in rows]})
