@@ -2,11 +2,15 @@
 
 A line is parsed as its words between blanks, lower-cased; a word with a digit is a variable field. The tree's first
 level is the number of words, the next DEPTH levels are the leading words; in a leaf, a line belongs to the template
-of all its words and to four templates in which one quarter of the words after the leading ones is variable too
-(lines of GENERAL words or more). So lines that differ in numbers, names or a phrase share a template, and no order
-of arrival decides. A template found in `min_docs` documents or more is recurring, and so is that of all words of a
-line of `long_words` words or more (if given) from two documents on; its lines are dropped from all documents but the one with the
-smallest doc_id. Lines of fewer than `min_words` words are left alone.
+of all its words and to four templates in which one quarter of the words after the leading ones is variable too, and
+above the leaf to the one in which the leading words are (lines of GENERAL words or more). So lines that differ in
+numbers, names or a phrase share a template. Merging a leaf's lines by similarity, as they arrive, would make the
+templates depend on the order of rows and a leaf the work of one task; a fixed family of templates does neither.
+
+A template found in `min_docs` documents or more is recurring, and so is that of all words of a line of `long_words`
+words or more (if given) from two documents on; its lines are dropped from all documents but the one with the smallest
+doc_id. Lines of fewer than `min_words` words are left alone: short lines (a heading, a date, a one-line document)
+recur without being boilerplate; the README has figures.
 
 All templates of a batch come from prefix sums over word hashes. Templates are counted over all documents (combined
 before the shuffle). Recurring ones are broadcast while they are at most `broadcast_rows`; beyond that, lines join
@@ -36,7 +40,7 @@ GENERAL = 8
 LONG = 50
 NO_ID = 2**63 - 1
 _VARIABLE = U64(0x6A09E667F3BCC909)
-_MARKS = [U64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, 6)]
+_MARKS = [U64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, 7)]
 
 
 def _templates(part: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,17 +64,17 @@ def _templates(part: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.nda
     np.cumsum(h * r[: len(h)], out=c[1:])
     line = np.flatnonzero(n >= min_words)
     keys, lines = [], []
-    seal = lambda total, at, k: mix(total * inv[a[at]] + n[at].astype(U64) * _MARKS[4] + (_MARKS[k - 1] if k else U64(0)))
+    seal = lambda total, at, k: mix(total * inv[a[at]] + n[at].astype(U64) * _MARKS[5] + (_MARKS[k - 1] if k else U64(0)))
     keys.append(seal(c[b[line]] - c[a[line]], line, 0))
     lines.append(line)
     words = n[line]
     line = np.flatnonzero(n >= max(min_words, GENERAL))
-    for k in range(4):
+    for k in range(5):
         rest = n[line] - DEPTH
-        lo, hi = a[line] + DEPTH + rest * k // 4, a[line] + DEPTH + rest * (k + 1) // 4
+        lo, hi = (a[line] + DEPTH + rest * k // 4, a[line] + DEPTH + rest * (k + 1) // 4) if k < 4 else (a[line], a[line] + DEPTH)
         keys.append(seal(c[b[line]] - c[a[line]] - (c[hi] - c[lo]), line, k + 1))
         lines.append(line)
-    return np.concatenate(keys), np.concatenate(lines), text, begin, stop, np.concatenate((words, np.zeros(4 * len(line), words.dtype)))
+    return np.concatenate(keys), np.concatenate(lines), text, begin, stop, np.concatenate((words, np.zeros(5 * len(line), words.dtype)))
 
 
 def recurring(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5, long_words: int | None = None) -> DataFrame:

@@ -25,6 +25,7 @@ def brute_lines(docs, min_docs=3, min_words=5):
             for k in range(4):
                 lo, hi = lines.DEPTH + n * k // 4, lines.DEPTH + n * (k + 1) // 4
                 yield (k + 1, len(w), *w[:lo], "*", *w[hi:])
+            yield (5, len(w), "*", *w[lines.DEPTH :])
 
     seen = defaultdict(lambda: [0, lines.NO_ID])
     big = lambda d: lines.NO_ID if d is None else d
@@ -43,7 +44,7 @@ def brute_lines(docs, min_docs=3, min_words=5):
     return sorted(out, key=str)
 
 
-LOGS = ["start\nuser 17 logged in from host alpha beta gamma delta today\nend of it all now", "user 18 logged in from host alpha other words delta today\n", "A\nuser 99 logged in from host alpha beta gamma delta today\nuser 1 logged in from host", "unrelated line of words here", "End of it all now\n\nunrelated line of words here\nunrelated line of words here"]
+LOGS = ["Ann Lee Smith signed in from the office\nsomething else here entirely now", "Bob said Jones signed in from the office", "a third person signed in from the office", "start\nuser 17 logged in from host alpha beta gamma delta today\nend of it all now", "user 18 logged in from host alpha other words delta today\n", "A\nuser 99 logged in from host alpha beta gamma delta today\nuser 1 logged in from host", "unrelated line of words here", "End of it all now\n\nunrelated line of words here\nunrelated line of words here"]
 
 
 def test_lines(spark):
