@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes handed to a Python worker at once (one row at least); the workers cut these again (`_text.slices`).
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 _sent: set[str] = set()

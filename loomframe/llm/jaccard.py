@@ -245,20 +245,23 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, size: int = 5
     return stash(dealt.repartition(n, "hub", "chunk").sortWithinPartitions("hub", "chunk", "role").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1 << 20, heavy_min: int = 8, hot: int = 20_000, broadcast_rows: int = 500_000) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
+def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1 << 20, heavy_min: int = 8, hot: int = 20_000, broadcast_rows: int = 500_000, key: str | None = None) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id; with `key`, that column (a long) and `group`, a number of each
+    component of more than one row, null for other rows."""
     tune(docs.sparkSession)
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    extra = [] if key is None else [key]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 s = sets(part, size)
                 cols = [part.column("doc_id"), part.column("row"), pa.array([len(x) for x in s], pa.int64()), pa.array([node(x) if len(x) else None for x in s], pa.int64()), pa.array([_second(x) for x in s], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "n", "node", "second"])
+                yield pa.RecordBatch.from_arrays([*cols, *(part.column(c) for c in extra)], ["doc_id", "row", "n", "node", "second", *extra])
 
-    named = stash(docs.withColumn("row", _row()).mapInArrow(name, "doc_id long, row long, n long, node long, second long"), "sets")
+    schema = "doc_id long, row long, n long, node long, second long" + "".join(f", `{c}` long" for c in extra)
+    named = stash(docs.withColumn("row", _row()).mapInArrow(name, schema), "sets")
     rep = F.min(F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
     nodes = named.where("n > 0").groupBy("node").agg(rep.alias("rep"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.min("second").alias("s0"), F.max("second").alias("s1"))
     nodes = stash(nodes, "nodes")
@@ -365,8 +368,9 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
     found = groups.select("node", "comp").unionByName(lone).join(met.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("c", "comp").alias("c"))
     joined = nodes.join(found, "node")
     low = joined.groupBy("c").agg(F.min("rep").alias("component"))
-    linked = joined.join(low, "c").select("node", "component")
-    copied = nodes.where("copies > 1").join(found, "node", "left_anti").select("node", F.col("rep").alias("component"))
+    linked = joined.join(low, "c").select("node", "component", F.col("c").alias("group"))
+    copied = nodes.where("copies > 1").join(found, "node", "left_anti").select("node", F.col("rep").alias("component"), F.col("node").alias("group"))
     known = stash(linked.unionByName(copied), "components")
-    out = named.join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    more = [] if key is None else [key, "group"]
+    out = named.join(known, "node", "left").select("doc_id", *more, F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("component_id") != NO_ID, F.col("component_id")).cast(T.LongType()))

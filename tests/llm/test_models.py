@@ -200,3 +200,23 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    """Null ids, nulls in other columns, repeated rows and copies: one row of each group stays, texts without a language go."""
+    text = "the quick brown fox jumps over the lazy dog and runs away from here"
+    rows = [(None, text, None, None, None), (None, text, None, None, None), (None, text + " now", None, "s", 1), (7, "only one of it is in this table today", "en", None, 2), (7, "only one of it is in this table today", "en", None, 2), (8, "Only one of it is in this table today", None, None, 2), (9, "", None, None, 0), (10, None, None, None, None)]
+    docs = frame(spark, rows).withColumns({c: toxicity.F.lit(c) for c in ("group", "_d", "component_id", "node")})
+    got = sorted(map(str, (tuple(r) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect())))
+    assert len(got) == 4 and sum("fox" in x for x in got) == 1 and sum("(7, 'only" in x for x in got) == 1
+    kept = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert {r.doc_id for r in kept} == {7, 8} and len(kept) == 3  # the others share no n-gram with the two labelled texts
+    model_docs = real(spark).select(*corpus_pipeline.COLUMNS)
+    more = frame(spark, [(10**6, "日本語 テスト", None, None, 5), (10**6 + 1, "the cat and the dog", None, None, 5), (10**6 + 1, "the cat and the dog", None, None, 5)])
+    kept = {r.doc_id: r for r in corpus_pipeline.identify_language(spark, model_docs.unionByName(more), "").where("doc_id >= 1000000").collect()}
+    assert set(kept) == {10**6 + 1} and kept[10**6 + 1].lang == "en"
+    sf = "/root/testdata/sf0.001"
+    for d in (docs, docs.where("1 = 0")):
+        for _, stage in corpus_pipeline.STAGES:
+            d = stage(spark, d, sf)
+        assert d.count() <= 8
