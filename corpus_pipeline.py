@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 the columns of `documents`; the last returns the packed pieces. No stage can be written in SQL (models, hashes and
 packing plans), so ORACLE_SQL is None and the tests hold the stages against brute force.
 
-Rows with nulls pass where an operator defines a result for them: language identification drops null texts, the
-others keep what isn't rejected. Rows that share a doc_id share the near-duplicate stage's decision.
+Language identification drops null texts, texts without a letter and those without a single known n-gram; where no
+language could be learned, all texts with a letter stay. The near-duplicate stage decides by rows, so repeated rows and
+copies without a doc_id go, too. The others keep what isn't rejected.
 """
 
 from __future__ import annotations
@@ -17,12 +18,17 @@ from pyspark.sql import functions as F
 from loomframe.llm import decontaminate, jaccard, langid, lines, pack
 from loomframe.llm._spark import stash, table
 
+#: Pieces of text that a packing worker remembers: it lives on beside the other stages' workers.
+REMEMBERED = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language; a null lang becomes the prediction."""
-    out = langid.predict(docs, langid.train(docs), keep=COLUMNS).where(F.col("lang_pred") != "und")
+    model = langid.train(docs)
+    if not model.languages:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    out = langid.predict(docs, model, keep=COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") > 0))
     return out.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 
@@ -34,9 +40,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id."""
-    gone = jaccard.similar(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each component stays: that with the smallest doc_id, null last."""
+    rows = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(*COLUMNS))
+    found = stash(jaccard.similar(rows, key="_key").where("group is not null").select("group", "doc_id", "_key"), "near-copies")
+    first = found.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(jaccard.NO_ID)).alias("d"), "_key")).alias("f")).select("f._key")
+    kept = rows.join(found.select("_key").distinct().join(first, "_key", "left_anti"), "_key", "left_anti")
+    repeated = stash(found.groupBy("_key").count().where("count > 1").select("_key").join(first, "_key", "left_semi"), "repeated")
+    if not repeated.isEmpty():  # rows that are the same in all columns: one stays
+        kept = kept.join(repeated, "_key", "left_anti").unionByName(rows.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +59,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 1024 tokens."""
-    return pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memory=REMEMBERED)
 
 
 STAGES = [
