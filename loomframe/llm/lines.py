@@ -13,8 +13,8 @@ doc_id. Lines of fewer than `min_words` words are left alone: short lines (a hea
 recur without being boilerplate; the README has figures.
 
 All templates of a batch come from prefix sums over word hashes. Templates are counted over all documents (combined
-before the shuffle). Recurring ones are broadcast while they are at most `broadcast_rows`; beyond that, lines join
-them by shuffle, to the same result.
+before the shuffle). Recurring ones are broadcast, 16 bytes each, while they are at most `broadcast_rows`; beyond that,
+lines join them by shuffle, to the same result.
 
 Defined results: a null text stays null with no lines; an empty text has one empty line; a text whose lines all go
 becomes empty; a null doc_id counts as larger than all others; repeated rows are documents of their own, and those
