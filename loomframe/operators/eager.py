@@ -190,7 +190,7 @@ class DataFrame(LazyFrame):
         label = temp_name("on")
         joined = ref(ons[0]).cast("string") if len(ons) == 1 else F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit('"'), ref(c).cast("string"), F.lit('"')) for c in ons]), F.lit("}"))
         df = self._df.withColumn(label, joined)
-        names = [r[0] for r in df.groupBy(label).agg(F.min(ROW).alias("r")).orderBy(label if sort_columns else "r").select(label).collect()]  # they become columns
+        names = _columns(df.groupBy(label).agg(F.min(ROW).alias("r")).orderBy(label if sort_columns else "r").select(label))
 
         def cell(v: str, name: str) -> Any:
             here = F.when(ref(label).eqNullSafe(F.lit(name)), ref(v))
@@ -210,6 +210,18 @@ class DataFrame(LazyFrame):
         return DataFrame(out)
 
 
+#: The most columns that values may become.
+MOST_COLUMNS = 10_000
+
+
+def _columns(values: SparkFrame) -> list[Any]:
+    """Values that become columns; too many of them are refused."""
+    found = [r[0] for r in values.limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise InvalidOperationError(f"more than {MOST_COLUMNS} values can't become columns")
+    return found
+
+
 def _rows(df: SparkFrame, key: Any) -> SparkFrame:
     """Rows by slice or list of places."""
     at = temp_name()
@@ -409,7 +421,7 @@ class Series:
         return self._with(self.to_frame().gather_every(n, offset))
 
     def to_dummies(self, *, separator: str = "_", drop_first: bool = False) -> DataFrame:
-        values = [r[0] for r in self._df.select(ref(self._name)).distinct().orderBy(ref(self._name).asc_nulls_first()).collect()]  # they become columns
+        values = _columns(self._df.select(ref(self._name)).distinct().orderBy(ref(self._name).asc_nulls_first()))
         values = values[1:] if drop_first else values
         cols = [ref(self._name).eqNullSafe(F.lit(v)).cast("byte").alias(f"{self._name}{separator}{'null' if v is None else v}") for v in values]
         return DataFrame(self._df.select(*cols, ROW))

@@ -243,3 +243,10 @@ def test_aggregates_beside_rows_are_one_aggregation(spark):
     d = lf.from_dict(spark, {"a": [1, 2, 3], "b": [1.0, 2.0, 4.0]}).lazy()
     out = d.select(x=c("a") - c("a").mean(), y=c("b") // c("b").max(), z=(c("a").sum() + c("b").std()) * c("b"))
     assert plan_of(out).count("Join") == 1 and plan_of(out).count("Aggregate") == 1
+
+
+def test_too_many_columns_are_refused(spark):
+    many = lf.from_dict(spark, {"k": list(range(10_001)), "v": [1] * 10_001, "i": [0] * 10_001})
+    for make in (lambda: many.pivot("k", index="i", values="v"), lambda: many.get_column("k").to_dummies()):
+        with pytest.raises(errors.InvalidOperationError):
+            make()
