@@ -307,12 +307,13 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
         enough = rows.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
         return rows.join(enough.select("node"), "node", "left_semi")
 
-    by = Window.partitionBy("token", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)))
+    by = Window.partitionBy("token", "salt")  # a column: windows by an expression each have a shuffle of their own
 
     def shared(rows: DataFrame, name: str) -> DataFrame:
         """Rows of shingles that more than one node has, with df, their number, and lo, the smallest of these nodes."""
-        rows = rows.select("token", "node", "n", "pos", "hot")
-        rows = stash(rows.withColumn("df", F.count(F.lit(1)).over(by)).withColumn("lo", F.min("n").over(by)).where("hot or df > 1"), name)
+        salt = F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0))
+        rows = rows.select("token", "node", "n", "pos", "hot", salt.alias("salt"))
+        rows = stash(rows.withColumn("df", F.count(F.lit(1)).over(by)).withColumn("lo", F.min("n").over(by)).where("hot or df > 1").drop("salt"), name)
         whole = rows.where("hot").groupBy("token").agg(F.count(F.lit(1)).alias("_df"), F.min("lo").alias("_lo"))
         rows = rows.join(F.broadcast(whole), "token", "left")  # `heavy` rows at most
         return rows.withColumns({"df": F.coalesce("_df", "df"), "lo": F.coalesce("_lo", "lo")}).drop("_df", "_lo").where("df > 1")
