@@ -38,12 +38,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Powers that a worker keeps; those for a longer text are made for it alone.
+_KEPT = STEP_BYTES + (1 << 16)
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    def made(r: np.uint64, n: int) -> np.ndarray:
+        p = np.full(n, r, U64)
+        p[0] = 1
+        return np.cumprod(p)
+
+    if n > _KEPT:
+        return made(_R, n), made(_R_INV, n)
     if len(_powers[0]) < n:
-        for k, r in enumerate((_R, _R_INV)):
-            p = np.full(max(n, STEP_BYTES + (1 << 16)), r, U64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
+        _powers[:] = made(_R, _KEPT), made(_R_INV, _KEPT)
     return _powers[0][:n], _powers[1][:n]
 
 
