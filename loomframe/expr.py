@@ -258,7 +258,7 @@ class Expr:
         return self._agg(lambda a: a(F.kurtosis(a.c)))
 
     def quantile(self, quantile: float, interpolation: str = "linear") -> Expr:
-        """Exact quantile. Other interpolations than linear gather a group's values in one array."""
+        """Exact quantile."""
         return self._agg(lambda a: N.quantile(a, quantile, interpolation))
 
     def first(self, order_by: Any = None) -> Expr:

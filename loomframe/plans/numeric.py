@@ -91,12 +91,26 @@ def quantile(a: Agg, q: float, interpolation: str) -> Column:
         return a(F.percentile(a.c, q))
     if interpolation not in ("lower", "higher", "nearest", "midpoint"):
         raise ValueError(f"interpolation {interpolation!r}")
-    values = F.sort_array(a(F.collect_list(a.c)))
-    at = (F.size(values) - 1) * F.lit(q)
-    lo, hi = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
-    kind = a.ctx.dtype(a.c)
-    out = {"lower": lo, "higher": hi, "nearest": F.get(values, F.rint(at).cast("int")), "midpoint": (lo + hi) / 2 if not isinstance(kind, T.DecimalType) else (lo + hi) / 2}[interpolation]
-    return F.when(F.size(values) > 0, out.cast("double"))
+    # The places of the two neighbours among the sorted values: rows are numbered, no group is gathered.
+    ctx, keys, c = a.ctx, a.ctx.keys(), a.ctx.temp(a.c)
+    if keys:
+        place = ctx.temp(F.row_number().over(Window.partitionBy(*keys).orderBy(c.asc_nulls_last())) - 1)
+        n = ctx.temp(F.count(c).over(Window.partitionBy(*keys)))
+    else:
+        from . import ranges
+
+        ctx.flush()
+        name = temp_name("q")
+        ctx.top.df = ranges.numbered(ctx.top.df, [ranges.Key(c, nulls_last=True)], name)
+        place, n = ref(name), ctx.within(mode="rows", window=None).scalar(F.count(c))
+        ctx.flush()
+    at = (n - 1) * F.lit(q)
+    lo, hi = (a(F.max(F.when(place == f(at), c))) for f in (F.floor, F.ceil))
+    if interpolation == "midpoint":
+        return ((lo + hi) / 2).cast("double")
+    if interpolation == "nearest":
+        return a(F.max(F.when(place == F.rint(at), c))).cast("double")
+    return (lo if interpolation == "lower" else hi).cast("double")
 
 
 def keyed(ctx: Context, c: Column) -> Any:

@@ -193,6 +193,24 @@ def test_values_that_count_once(spark):
             two.lazy().select(bad)
 
 
+@pytest.mark.parametrize("how", ["lower", "higher", "nearest", "midpoint", "linear"])
+def test_quantiles(spark, how):
+    import numpy as np
+
+    v = [5.0, 1.0, 4.0, 4.0, None, 9.0, 2.5, 7.0]
+    d = lf.from_dict(spark, {"x": v, "g": ["a"] * 5 + ["b"] * 3}).lazy()
+    whole, parts = [x for x in v if x is not None], {"a": [5.0, 1.0, 4.0, 4.0], "b": [9.0, 2.5, 7.0]}
+    for q in (0.0, 0.3, 0.5, 0.77, 1.0):
+        one = c("x").quantile(q, how)
+        assert get(d.select(one, m=c("x").max()))["x"] == [pytest.approx(np.quantile(whole, q, method=how))]
+        want = {k: pytest.approx(np.quantile(p, q, method=how)) for k, p in parts.items()}
+        out = get(d.group_by("g").agg(one), "g")
+        assert dict(zip(out["g"], out["x"])) == want
+        out = get(d.select("g", y=one.over("g")))
+        assert dict(zip(out["g"], out["y"])) == want
+    assert get(d.filter(c("x") > 100).select(c("x").quantile(0.5, how)))["x"] == [None]
+
+
 def test_powers_are_exact(spark):
     d = lf.from_dict(spark, {"a": [3, -3, 2, -1, 0, 10, 1, None], "b": [39, 39, 62, 10**6 + 1, 5, 18, 10**9, 2]})
     assert get(d.select(c("a") ** c("b")))["a"] == [3**39, -(3**39), 2**62, -1, 0, 10**18, 1, None]
