@@ -108,7 +108,7 @@ def test_last_shared_shingle_of_a_third_document(spark):
         assert {r.doc_id: r.component_id for r in op.similar(frame(spark, rows), size=1, heavy_min=k).collect()} == dict(enumerate(up))
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_links_at_the_threshold(spark, seed):
     """n in m1 at exactly 0.8, m2 a near copy of m1 that doesn't link with n; sets of 5 to 200 that share just enough."""
     rng, rows = random.Random(seed), []
