@@ -286,7 +286,7 @@ _row("op_boolean", lambda: [((_nul > 5) & (col("value") > 50)).alias("a"), ((_nu
 _row("pred_is_between", lambda: [col("event_id").is_between(10, 20, c).alias(c) for c in ("both", "left", "right", "none")], 'event_id BETWEEN 10 AND 20 AS both, event_id >= 10 AND event_id < 20 AS "left", event_id > 10 AND event_id <= 20 AS "right", event_id > 10 AND event_id < 20 AS none')
 _row("pred_is_in", lambda: [col("event_type").is_in(["view", "click"]).alias("a"), col("event_type").is_in([]).alias("b")], "event_type IN ('view', 'click') AS a, false AS b")
 _row("pred_nulls", lambda: [_nul.is_null().alias("a"), _nul.fill_null(-1).alias("b"), (_nul / 0).is_nan().alias("c"), (_nul / 0).is_finite().alias("d")], f"{_nsql} IS NULL AS a, coalesce({_nsql}, -1) AS b, CASE WHEN {_nsql} IS NOT NULL THEN event_id = 0 END AS c, CASE WHEN {_nsql} IS NOT NULL THEN false END AS d")
-_row("pred_is_close", lambda: [col("value").is_close(col("value") + 1e-12).alias("a"), col("value").is_close(50.0, abs_tol=1.0).alias("b")], "true AS a, abs(value - 50) <= 1.0 AS b")
+_row("pred_is_close", lambda: [col("value").is_close(col("value") * (1 + 1e-12)).alias("a"), col("value").is_close(50.0, abs_tol=1.0).alias("b")], "true AS a, abs(value - 50) <= 1.0 AS b")
 _row("clip", lambda: [_nul.clip(10, 20).alias("a"), _nul.clip(10).alias("b"), _nul.clip(None, 20).alias("c")], f"CASE WHEN {_nsql} IS NOT NULL THEN greatest(least(event_id, 20), 10) END AS a, CASE WHEN {_nsql} IS NOT NULL THEN greatest(event_id, 10) END AS b, CASE WHEN {_nsql} IS NOT NULL THEN least(event_id, 20) END AS c")
 _row("cast", lambda: [col("event_id").cast(dt.Float64).alias("a"), col("event_id").cast(dt.String).alias("b"), (col("event_id") % 100).cast(dt.Int8).alias("c"), (col("event_id") % 2).cast(dt.Boolean).alias("d"), col("ts").cast(dt.Date).alias("e")], "CAST(event_id AS DOUBLE) AS a, CAST(event_id AS VARCHAR) AS b, CAST(event_id % 100 AS TINYINT) AS c, event_id % 2 <> 0 AS d, CAST(ts AS DATE) AS e")
 _row("replace_strict", lambda: [col("event_type").replace_strict({"view": 1, "click": 2}, default=0).alias("a")], "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 0 END AS a")

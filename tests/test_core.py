@@ -268,3 +268,17 @@ def test_too_many_columns_are_refused(spark):
     for make in (lambda: many.pivot("k", index="i", values="v"), lambda: many.get_column("k").to_dummies()):
         with pytest.raises(errors.InvalidOperationError):
             make()
+
+
+def test_is_close_at_zero(spark, tmp_path):
+    """The query against its SQL where a value is 0; the operator's tolerance there is 0 unless abs_tol is given."""
+    import duckdb
+
+    from loomframe import queries as lib
+
+    spark.createDataFrame([(i, v) for i, v in enumerate([0.0, 1e-9, 0.01, 49.0, 51.0, 51.01, 560.21, -3.0])], "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.sql(lib.SQL["pred_is_close"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in lib.QUERIES["pred_is_close"](spark, str(tmp_path)).collect()) == sorted(want)
+    z = lf.from_dict(spark, {"x": [0.0, 1.0]})
+    assert get(z.select(c("x").is_close(c("x") + 1e-12)))["x"] == [False, True]
+    assert get(z.select(c("x").is_close(c("x") + 1e-12, abs_tol=1e-9)))["x"] == [True, True]
