@@ -15,8 +15,8 @@ from ..errors import ColumnNotFoundError, DuplicateError, InvalidOperationError
 from ..expr import Expr, col, flat, into
 from ..plans import ranges
 from ..plans.lower import Context, Named, has_window, lower, ref, temp_name
+from ..plans.ranges import ROW
 
-ROW = "__loom_row"
 _HOWS = ("inner", "left", "full", "cross", "semi", "anti")
 
 
@@ -136,9 +136,8 @@ class LazyFrame:
         order = [ranges.Key(c, d, nulls_last) for c, d in zip(cols, flags, strict=True)]
         if not self._has_row:
             return self._new(ctx.df.orderBy(*[k.sorting() for k in order]).select(*[ref(c) for c in self.columns]))
-        at = temp_name()
-        out = ranges.numbered(ctx.df, [*order, ranges.Key(ref(ROW))], at)
-        return self._new(out.select(*[(ref(at) if c == ROW else ref(c)).alias(c) for c in self._df.columns]))
+        out = ranges.placed(ctx.df, order, ranges.Key(ref(ROW)))
+        return self._new(out.select(*[ref(c) for c in self._df.columns]))
 
     def top_k(self, k: int, *, by: Any, reverse: bool | list[bool] = False) -> Any:
         keys = flat(by)

@@ -282,3 +282,19 @@ def test_is_close_at_zero(spark, tmp_path):
     z = lf.from_dict(spark, {"x": [0.0, 1.0]})
     assert get(z.select(c("x").is_close(c("x") + 1e-12)))["x"] == [False, True]
     assert get(z.select(c("x").is_close(c("x") + 1e-12, abs_tol=1e-9)))["x"] == [True, True]
+
+
+def test_ranges_of_many_keys_are_found_by_searches(spark, monkeypatch):
+    """Numbers over keys of many types, with nulls, ties, NaN and -0.0, and no function of every bound for each row."""
+    import random
+
+    monkeypatch.setattr(ranges, "SAMPLED", 20)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 0.0, -0.0, 1.5, math.nan]), rng.choice("ab"), D.datetime(2020, 1, 1) + D.timedelta(hours=rng.randrange(9)), rng.choice([None, D.date(1960, 5, 5), D.date(2000, 1, 1)]), i) for i in range(600)]
+    d = spark.createDataFrame(rows, "x double, s string, t timestamp_ntz, d date, i long")
+    got = lf.LazyFrame(d).with_row_index(order_by=["x", "s", "t", "d", "i"])
+    num = lambda v: math.inf if v is not None and math.isnan(v) else v
+    want = sorted(rows, key=lambda r: (r[0] is not None, num(r[0]) or 0, r[1], r[2], r[3] is not None, r[3] or D.date.min, r[4]))
+    out = got.to_native().collect()
+    assert [r["i"] for r in sorted(out, key=lambda r: r["index"])] == [r[4] for r in want] and sorted(r["index"] for r in out) == list(range(600))
+    assert "lambda" not in plan_of(got)
