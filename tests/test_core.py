@@ -298,3 +298,13 @@ def test_ranges_of_many_keys_are_found_by_searches(spark, monkeypatch):
     out = got.to_native().collect()
     assert [r["i"] for r in sorted(out, key=lambda r: r["index"])] == [r[4] for r in want] and sorted(r["index"] for r in out) == list(range(600))
     assert "lambda" not in plan_of(got)
+
+
+def test_sorts_of_sorts_read_their_input_twice(spark, tmp_path):
+    """Once for the counts of the ranges and once for the rows, however many sorts are before."""
+    spark.range(3000).selectExpr("id AS i", "id % 7 AS k", "id % 11 AS m").write.parquet(f"{tmp_path}/t")
+    e = lf.scan_parquet(spark, f"{tmp_path}/t").collect()
+    out = e.sort("i", descending=True).sort("m").sort("k").with_row_index()
+    assert plan_of(out.lazy()).count("parquet") <= 2
+    want = sorted(sorted(range(3000)[::-1], key=lambda i: i % 11), key=lambda i: i % 7)
+    assert [r[1] for r in out.rows()] == want and get(out)["index"] == list(range(3000))
