@@ -308,3 +308,13 @@ def test_sorts_of_sorts_read_their_input_twice(spark, tmp_path):
     assert plan_of(out.lazy()).count("parquet") <= 2
     want = sorted(sorted(range(3000)[::-1], key=lambda i: i % 11), key=lambda i: i % 7)
     assert [r[1] for r in out.rows()] == want and get(out)["index"] == list(range(3000))
+
+
+def test_places_after_a_sort_need_no_sample(spark, tmp_path):
+    """arg_true of a sorted frame: the input is read twice, and the second numbering isn't sampled."""
+    spark.range(3000).selectExpr("id AS i", "id * 37 % 3001 AS k").write.parquet(f"{tmp_path}/t")
+    e = lf.scan_parquet(spark, f"{tmp_path}/t").collect().sort("k")
+    s = (e["i"] % 5 == 2).alias("x").arg_true()
+    assert plan_of(s.to_frame().lazy()).count("parquet") <= 2
+    order = sorted(range(3000), key=lambda i: i * 37 % 3001)
+    assert s.to_list() == [n for n, i in enumerate(order) if i % 5 == 2]
