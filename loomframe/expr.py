@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from . import dtypes as dt
 from .errors import InvalidOperationError
 from .plans import numeric as N
+from .plans import whole as W
 from .plans.lower import Agg, Context, column, has_window, window
 
 _NONE = object()
@@ -352,10 +353,12 @@ class Expr:
             raise ValueError(f"strategy {strategy!r}")
 
         def fn(ctx: Context, c: Column) -> Column:
-            o = ctx.ordered("fill_null")
-            if strategy == "forward":
-                return F.last(c, ignorenulls=True).over(window(o, None if limit is None else -limit, 0))
-            return F.first(c, ignorenulls=True).over(window(o, 0, limit))
+            forward = strategy == "forward"
+            if limit is None:
+                return W.filled(ctx, c, forward=forward)
+            if forward:
+                return W.near(ctx, c, "fill_null", lambda c, o: F.last(c, ignorenulls=True).over(window(o, -limit, 0)), limit, 0)
+            return W.near(ctx, c, "fill_null", lambda c, o: F.first(c, ignorenulls=True).over(window(o, 0, limit)), 0, limit)
 
         return self._win(fn)
 
@@ -395,28 +398,32 @@ class Expr:
         return self._win(lambda ctx, c: N.rank(ctx, c, method, descending))
 
     def cum_sum(self, *, reverse: bool = False) -> Expr:
-        return self._cum(F.sum, reverse)
+        return self._cum(F.sum, F.sum, lambda a, b: a + b, reverse)
 
     def cum_min(self, *, reverse: bool = False) -> Expr:
-        return self._cum(F.min, reverse)
+        return self._cum(F.min, F.min, F.least, reverse)
 
     def cum_max(self, *, reverse: bool = False) -> Expr:
-        return self._cum(F.max, reverse)
+        return self._cum(F.max, F.max, F.greatest, reverse)
 
     def cum_prod(self, *, reverse: bool = False) -> Expr:
-        return self._cum(F.product, reverse)
+        return self._cum(F.product, F.product, lambda a, b: a * b, reverse)
 
     def cum_count(self, *, reverse: bool = False) -> Expr:
-        return self._win(lambda ctx, c: F.count(c).over(window(ctx.ordered("cum_count"), None, 0, reverse=reverse)))
+        return self._win(lambda ctx, c: W.running(ctx, c, "cum_count", F.count, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b, reverse=reverse))
 
-    def _cum(self, f: Callable[[Column], Column], reverse: bool) -> Expr:
-        return self._win(lambda ctx, c: F.when(c.isNotNull(), f(c).over(window(ctx.ordered("a running value"), None, 0, reverse=reverse))))
+    def _cum(self, f: Callable[[Column], Column], again: Callable[[Column], Column], both: Callable[[Column, Column], Column], reverse: bool) -> Expr:
+        def fn(ctx: Context, c: Column) -> Column:
+            out = W.running(ctx, c, "a running value", f, again, lambda a, b: F.coalesce(both(a, b), b), reverse=reverse)
+            return F.when(c.isNotNull(), out)
+
+        return self._win(fn)
 
     def shift(self, n: int) -> Expr:
-        return self._win(lambda ctx, c: F.lag(c, n).over(N.in_order(ctx, "shift")))
+        return self._win(lambda ctx, c: W.near(ctx, c, "shift", lambda c, o: F.lag(c, n).over(N.in_order(o)), max(n, 0), max(-n, 0)))
 
     def diff(self) -> Expr:
-        return self._win(lambda ctx, c: c - F.lag(c).over(N.in_order(ctx, "diff")))
+        return self._win(lambda ctx, c: W.near(ctx, c, "diff", lambda c, o: c - F.lag(c).over(N.in_order(o)), 1, 0))
 
     def _rolling(self, f: Callable[[Column, Any], Column], size: int, min_samples: int | None, center: bool) -> Expr:
         if size < 1:
@@ -425,12 +432,13 @@ class Expr:
         if not 1 <= least <= size:
             raise InvalidOperationError("min_samples must be in 1..window_size")
         half, rest = divmod(size - 1, 2)
+        before, after = (half + rest, half) if center else (size - 1, 0)
 
-        def fn(ctx: Context, c: Column) -> Column:
-            w = window(ctx.ordered("a rolling value"), *((-(half + rest), half) if center else (1 - size, 0)))
+        def fn(c: Column, o: Any) -> Column:
+            w = window(o, -before, after)
             return F.when(F.count(c).over(w) >= least, f(c, w))
 
-        return self._win(fn)
+        return self._win(lambda ctx, c: W.near(ctx, c, "a rolling value", fn, before, after))
 
     def rolling_sum(self, window_size: int, *, min_samples: int | None = None, center: bool = False) -> Expr:
         return self._rolling(lambda c, w: F.sum(c).over(w), window_size, min_samples, center)

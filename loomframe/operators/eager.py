@@ -385,9 +385,10 @@ class Series:
         return self._with(self.to_frame().sample(n, fraction=fraction, with_replacement=with_replacement, seed=seed))
 
     def is_sorted(self, *, descending: bool = False) -> bool:
-        before = F.lag(ref(self._name)).over(Window.orderBy(ROW))
-        test = before >= ref(self._name) if descending else before <= ref(self._name)
-        return bool(self._df.select(test.alias("x")).agg(F.coalesce(F.bool_and("x"), F.lit(True))).first()[0])
+        before = temp_name()
+        d = self.to_frame().with_columns(col(self._name).shift(1).alias(before))._df
+        test = ref(before) >= ref(self._name) if descending else ref(before) <= ref(self._name)
+        return bool(d.select(test.alias("x")).agg(F.coalesce(F.bool_and("x"), F.lit(True))).first()[0])
 
     def value_counts(self, *, sort: bool = False, parallel: bool = False, name: str | None = None, normalize: bool = False) -> DataFrame:
         label = name or ("proportion" if normalize else "count")

@@ -53,6 +53,7 @@ class Context:
     skip: tuple[str, ...] = ()  # group keys: not part of all()
     groups: tuple[Column, ...] = ()  # the group keys' columns
     pending: dict[str, Column] = field(default_factory=dict)
+    orders: dict[Any, Any] = field(default_factory=dict)  # columns with ranges and numbers of orders, see plans.whole
     boss: Context | None = None
 
     # --- the frame ---

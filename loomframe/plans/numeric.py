@@ -117,8 +117,7 @@ def keyed(ctx: Context, c: Column) -> Any:
     return Window.partitionBy(*(ctx.window.keys if ctx.window else ()), c)
 
 
-def in_order(ctx: Context, what: str) -> Any:
-    o = ctx.ordered(what)
+def in_order(o: Over) -> Any:
     return Window.partitionBy(*o.keys).orderBy(*[x.asc_nulls_first() for x in o.order])
 
 
@@ -173,12 +172,23 @@ def ewm(ctx: Context, c: Column, alpha: float, adjust: bool, min_samples: int, i
     counted within blocks of WIDTH, and each block takes the sums of the one before with it."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
-    o = ctx.ordered("ewm_mean")
+    from . import whole
+
+    o, part = ctx.ordered("ewm_mean"), None
+    if whole.is_whole(ctx, o):  # each range as if it were all rows, then what the ranges before come to
+        c = ctx.temp(c)
+        part, n = whole.split(ctx, o)
+        o = Over((ref(part),), o.order)
+        part = None if n == 1 else part
     seen = F.count(c).over(window(o, None, 0))
     if alpha == 1:
+        if part:
+            seen = whole.running(ctx, c, "ewm_mean", F.count, F.sum, lambda before, own: F.coalesce(before, F.lit(0)) + own)
         return F.when(c.isNotNull() & (seen >= min_samples), c.cast("double"))
     fall, some = -math.log1p(-alpha), c.isNotNull()
-    at = ctx.temp(seen if ignore_nulls else F.row_number().over(in_order(ctx, "ewm_mean")).cast("long"))
+    row = F.row_number().over(in_order(o)).cast("long")
+    row = ctx.temp(row) if part else row
+    at = ctx.temp(seen if ignore_nulls else row)
     own = F.lit(1.0)
     if adjust:
         log = at * F.lit(fall)
@@ -194,15 +204,50 @@ def ewm(ctx: Context, c: Column, alpha: float, adjust: bool, min_samples: int, i
     inside = window(Over((*o.keys, block), o.order), None, 0)
     num = ctx.temp(F.coalesce(F.sum(F.when(some, own * c.cast("double") * F.exp(far))).over(inside), F.lit(0.0)))
     den = ctx.temp(F.coalesce(F.sum(F.when(some, F.exp(far))).over(inside), F.lit(0.0))) if adjust else F.lit(0.0)
-    ends = ctx.temp(F.when(F.lead(block).over(in_order(ctx, "ewm_mean")) != block, F.struct(block.alias("b"), num.alias("num"), den.alias("den"))))
+    ends = ctx.temp(F.when(F.lead(block).over(in_order(o)) != block, F.struct(block.alias("b"), num.alias("num"), den.alias("den"))))
     before = ctx.temp(F.last(ends, ignorenulls=True).over(window(o, None, -1)))
     near = before["b"] == block - 1
     fell, fell_before = F.exp(-far), F.exp(-far - WIDTH)
     num = fell * num + F.when(near, fell_before * before["num"]).otherwise(0.0)
     den = fell * den + F.when(near, fell_before * before["den"]).otherwise(0.0) if adjust else F.lit(1.0)
+    if part:
+        seen, num, den = _ewm_ranges(ctx, c, part, ctx.temp(seen), row, at, log, ctx.temp(num), ctx.temp(den), alpha, fall, adjust)
     return F.when(some & (seen >= min_samples), num / den)
 
 
+def _ewm_ranges(ctx: Context, c: Column, part: str, seen: Column, row: Column, at: Column, log: Column, num: Column, den: Column, alpha: float, fall: float, adjust: bool) -> tuple[Column, Column, Column]:
+    """Counts and sums of each range's rows so far, with those of all ranges before it."""
+    from . import whole
+
+    some, x = c.isNotNull(), c.cast("double")
+    struct = lambda **cols: F.struct(*[v.alias(k) for k, v in cols.items()])
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
+    ends = {"some": F.count(c), "steps": F.max(at), "end": F.max_by(struct(num=num, den=den, log=log), row)}
+    if adjust:
+        fell = lambda steps: F.exp(-steps * F.lit(fall))
+        step = lambda s, e: struct(seen=s["seen"] + e["some"], num=e["end"]["num"] + fell(e["steps"]) * s["num"], den=e["end"]["den"] + fell(e["steps"]) * s["den"])
+        was = ref(whole.folded(ctx, part, ends, struct(seen=zero, num=F.lit(0.0), den=F.lit(0.0)), step))
+        return seen + was["seen"], num + fell(at) * was["num"], den + fell(at) * was["den"]
+
+    # The first value of a range counts for all of the mean so far there; what it comes to with the mean before it
+    # differs from that, and the difference falls as the weight of the first value does.
+    def change(s: Any, x: Column, at: Column) -> Column:
+        weight = F.exp(-(s["rest"] + at) * F.lit(fall))
+        return F.coalesce((weight * s["mean"] + alpha * x) / (weight + alpha) - x, F.lit(0.0))
+
+    ends |= {"x": F.min_by(x, F.when(some, row)), "first": F.min(F.when(some, at)), "last": F.max(F.when(some, at))}
+
+    def step(s: Any, e: Any) -> Column:
+        mean = e["end"]["num"] + F.exp(-e["end"]["log"]) * change(s, e["x"], e["first"])
+        has = e["some"] > 0
+        return struct(seen=s["seen"] + e["some"], mean=F.when(has, mean).otherwise(s["mean"]), rest=F.when(has, e["steps"] - e["last"]).otherwise(s["rest"] + e["steps"]))
+
+    start = Window.partitionBy(ref(part))
+    x0, at0 = ctx.temp(F.min_by(x, F.when(some, row)).over(start)), ctx.temp(F.min(F.when(some, at)).over(start))
+    was = ref(whole.folded(ctx, part, ends, struct(seen=zero, mean=none, rest=zero), step))
+    return seen + was["seen"], num + F.exp(-log) * change(was, x0, at0), den
+
+
 def spearman_ready(ctx: Context, c: Column) -> Column:
     return rank(ctx, c, "average", False)
 

@@ -318,3 +318,41 @@ def test_places_after_a_sort_need_no_sample(spark, tmp_path):
     assert plan_of(s.to_frame().lazy()).count("parquet") <= 2
     order = sorted(range(3000), key=lambda i: i * 37 % 3001)
     assert s.to_list() == [n for n, i in enumerate(order) if i % 5 == 2]
+
+
+def whole_frames(spark):
+    """Rows with nulls, and an ordered column of them in the three ways that a window over all rows has."""
+    import random
+
+    rng = random.Random(6)
+    x = [None if rng.random() < 0.3 or 200 < i < 290 else rng.randrange(1, 9) for i in range(600)]
+    rows = [(i, v, 1) for i, v in enumerate(x)]
+    rng.shuffle(rows)
+    d = lf.LazyFrame(spark.createDataFrame(rows, "i long, x long, one int").repartition(7, "i")).with_columns(k=lf.lit(1))
+    eager = d.collect().sort("i")
+    take = lambda f, e, order: get(f.select("i", y=order(e)), "i")["y"]
+    ways = [lambda e: take(eager, e, lambda e: e), lambda e: take(d, e, lambda e: e.over(order_by="i")), lambda e: take(d, e, lambda e: e.over("k", order_by="i"))]
+    return x, ways
+
+
+@pytest.mark.parametrize("way", [0, 1, 2])
+def test_windows_over_whole_frames(spark, monkeypatch, way):
+    import pandas as pd
+
+    from loomframe.plans import whole
+
+    monkeypatch.setattr(ranges, "SAMPLED", 20)
+    monkeypatch.setattr(whole, "BLOCK", 50)
+    x, ways = whole_frames(spark)
+    s = pd.Series([math.nan if v is None else v for v in x])
+    plain = lambda p: [None if v != v else v for v in p.tolist()]
+    e, got = c("x"), ways[way]
+    back = s[::-1]
+    for expr, want in (
+        (e.shift(1), s.shift(1)), (e.shift(-2), s.shift(-2)), (e.shift(70), s.shift(70)), (e.diff(), s.diff()),
+        (e.cum_sum(), s.cumsum()), (e.cum_sum(reverse=True), back.cumsum()[::-1]), (e.cum_max(), s.cummax()), (e.cum_min(reverse=True), back.cummin()[::-1]),
+        (e.cum_count(), s.notna().cumsum()), (e.fill_null(strategy="forward"), s.ffill()), (e.fill_null(strategy="backward"), s.bfill()),
+        (e.fill_null(strategy="backward", limit=3), s.bfill(limit=3)), (e.rolling_sum(60, min_samples=2), s.rolling(60, min_periods=2).sum()),
+        (e.rolling_sum(5, min_samples=1, center=True), s.rolling(5, min_periods=1, center=True).sum()),
+    ):
+        assert got(expr) == plain(want)
