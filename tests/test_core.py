@@ -356,3 +356,27 @@ def test_windows_over_whole_frames(spark, monkeypatch, way):
         (e.rolling_sum(5, min_samples=1, center=True), s.rolling(5, min_periods=1, center=True).sum()),
     ):
         assert got(expr) == plain(want)
+
+
+@pytest.mark.parametrize("adjust", [True, False])
+@pytest.mark.parametrize("ignore_nulls", [True, False])
+@pytest.mark.parametrize("alpha", [0.004, 0.5, 1])
+def test_ewm_mean_over_whole_frames(spark, monkeypatch, alpha, adjust, ignore_nulls):
+    import pandas as pd
+
+    monkeypatch.setattr(ranges, "SAMPLED", 20)
+    x, ways = whole_frames(spark)
+    s = pd.Series([math.nan if v is None else v for v in x])
+    want = s.ewm(alpha=alpha, adjust=adjust, ignore_na=ignore_nulls, min_periods=4).mean().where(s.notna())
+    for got in ways[:1] + ways[2:]:
+        y = got(c("x").ewm_mean(alpha=alpha, adjust=adjust, ignore_nulls=ignore_nulls, min_samples=4))
+        assert [v is None for v in y] == want.isna().tolist()
+        assert [v for v in y if v is not None] == pytest.approx(want.dropna().tolist(), rel=1e-9)
+
+
+def test_no_single_task_has_the_rows_of_an_ordered_window(spark, monkeypatch):
+    """A constant key is none: no window over the rows is without keys, or has that one."""
+    monkeypatch.setattr(ranges, "SAMPLED", 20)
+    d = lf.LazyFrame(spark.range(600).withColumnRenamed("id", "i")).with_columns(k=lf.lit(1))
+    for e in (c("i").shift(1), c("i").ewm_mean(alpha=0.1), c("i").cum_sum()):
+        assert "windowspecdefinition(1" not in plan and "windowspecdefinition(i#" not in plan and "windowspecdefinition(id#" not in plan
