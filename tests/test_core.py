@@ -379,4 +379,5 @@ def test_no_single_task_has_the_rows_of_an_ordered_window(spark, monkeypatch):
     monkeypatch.setattr(ranges, "SAMPLED", 20)
     d = lf.LazyFrame(spark.range(600).withColumnRenamed("id", "i")).with_columns(k=lf.lit(1))
     for e in (c("i").shift(1), c("i").ewm_mean(alpha=0.1), c("i").cum_sum()):
+        plan = plan_of(d.select("i", y=e.over("k", order_by="i")))
         assert "windowspecdefinition(1" not in plan and "windowspecdefinition(i#" not in plan and "windowspecdefinition(id#" not in plan
