@@ -1,16 +1,21 @@
-"""Session helpers shared by the operators: shared storage, batch size, table access."""
+"""Session helpers shared by the operators: shared storage, batch size, workers' memory, table access."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ._tokens import Encoder
+
 #: Rows and bytes handed to a Python worker at once (one row at least); the workers cut these again (`_text.slices`).
 ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
@@ -43,6 +48,32 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set(size, str(ARROW_BYTES))
 
 
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def give_back() -> None:
+    """Return what the allocators hold of freed memory to the system (C's own where it can)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(work: Work, *, encodes: bool = False) -> Work:
+    """A worker's function that leaves the worker small. Workers live on beside the executor's JVM, so what one stage
+    freed, or remembers, would count in all stages after it: freed memory goes back when a task ends, and a task that
+    doesn't encode forgets the pieces that encoders remember."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            Encoder.forget()
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

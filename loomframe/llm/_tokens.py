@@ -74,6 +74,12 @@ class Encoder:
             cls._made[key] = cls(*key)
         return cls._made[key]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drop the remembered pieces of this worker process; the encoders stay."""
+        for e in cls._made.values():
+            e.known, e.older = {"": b""}, {}
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.encode.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stash, tune
+from ._spark import lean, stash, tune
 from ._text import ALNUM, Words, buffer, inside, shingles, slices
 
 SHINGLE = 5
@@ -95,7 +95,7 @@ def _rarity(docs: DataFrame, block: _Block) -> dict[int, int]:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["k", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(lean(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     return {int(known[r.k]): r.n for r in rows}
 
 
@@ -139,7 +139,7 @@ def _join(docs: DataFrame, block: _Block | None) -> DataFrame:
                 new = {"_words": pa.array(np.diff(first), pa.int64()), "_spans": pa.array([_merge(s) for s in spans], pa.list_(pa.int64())), "_items": pa.array([sorted(x) for x in found], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([new.get(n, part.column(n) if n not in new else None) for n in names], names)
 
-    return docs.mapInArrow(probe, schema)
+    return docs.mapInArrow(lean(probe), schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, block_chars: int = 8_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import stash, tune
+from ._spark import lean, stash, tune
 from ._text import SOLID, Words, buffer, mix, shingles, slices
 from .components import components
 
@@ -170,14 +170,14 @@ def _order(docs: DataFrame, size: int, percent: int, heavy: int, heavy_min: int)
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pieces(s[: np.searchsorted(s, edge)] for _, s in _new_sets(batches, size))
 
-    first = _commonest(docs.select("text").mapInArrow(low, "token long, n int"), heavy // 2, heavy_min)
+    first = _commonest(docs.select("text").mapInArrow(lean(low), "token long, n int"), heavy // 2, heavy_min)
     shared = spark.sparkContext.broadcast(first)
 
     def high(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = shared.value
         yield from pieces(s[np.searchsorted(s, edge) :] for _, s in _new_sets(batches, size) if o.prefix(s, percent).max() >= edge)
 
-    second = _commonest(docs.select("text").mapInArrow(high, "token long, n int"), heavy // 2, heavy_min)
+    second = _commonest(docs.select("text").mapInArrow(lean(high), "token long, n int"), heavy // 2, heavy_min)
     return _Order(np.concatenate((first.tokens, second.tokens)), np.concatenate((first.counts, second.counts)))
 
 
@@ -240,9 +240,9 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, size: int = 5
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    dealt = texts.mapInArrow(deal, "hub long, chunk int, role int, node long, text string")
+    dealt = texts.mapInArrow(lean(deal), "hub long, chunk int, role int, node long, text string")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return stash(dealt.repartition(n, "hub", "chunk").sortWithinPartitions("hub", "chunk", "role").mapInArrow(compare, "a long, b long").distinct(), "links")
+    return stash(dealt.repartition(n, "hub", "chunk").sortWithinPartitions("hub", "chunk", "role").mapInArrow(lean(compare), "a long, b long").distinct(), "links")
 
 
 def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1 << 20, heavy_min: int = 8, hot: int = 20_000, broadcast_rows: int = 500_000, key: str | None = None) -> DataFrame:
@@ -261,7 +261,7 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
                 yield pa.RecordBatch.from_arrays([*cols, *(part.column(c) for c in extra)], ["doc_id", "row", "n", "node", "second", *extra])
 
     schema = "doc_id long, row long, n long, node long, second long" + "".join(f", `{c}` long" for c in extra)
-    named = stash(docs.withColumn("row", _row()).mapInArrow(name, schema), "sets")
+    named = stash(docs.withColumn("row", _row()).mapInArrow(lean(name), schema), "sets")
     rep = F.min(F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
     nodes = named.where("n > 0").groupBy("node").agg(rep.alias("rep"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.min("second").alias("s0"), F.max("second").alias("s1"))
     nodes = stash(nodes, "nodes")
@@ -323,7 +323,7 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, heavy: int = 1
         cold = rows.where("not hot").join(one.where("not hot").drop("hot"), "token")
         return cold.unionByName(rows.where("hot").join(F.broadcast(one.where("hot").drop("hot")), "token"))
 
-    posts = able(shared(docs.select("text").mapInArrow(prefixes, "token long, node long, n int, pos int, hot boolean"), "prefixes"))
+    posts = able(shared(docs.select("text").mapInArrow(lean(prefixes), "token long, node long, n int, pos int, hot boolean"), "prefixes"))
     posts = stash(shared(posts, "able").drop("lo"), "shared")
 
     # Pivots: a text that others were made from has few shingles of its own, so common ones fill its prefix.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import tune
+from ._spark import lean, tune
 from ._text import LOWER, buffer, mix, slices
 
 U64 = np.uint64
@@ -132,7 +132,7 @@ def train(docs: DataFrame, *, n: int = 5, per_language: int = 3000, min_share: f
                     grams, times = np.unique(np.concatenate([e for e, x in zip(each, lang, strict=True) if x == k]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), pa.array(grams.view(np.int64)), pa.array(times)], ["k", "g", "n"])
 
-    found = sample.mapInArrow(count, "k int, g long, n long").groupBy("k", "g").agg(F.sum("n").alias("n"))
+    found = sample.mapInArrow(lean(count), "k int, g long, n long").groupBy("k", "g").agg(F.sum("n").alias("n"))
     # Bounded by the sample: an n-gram that is kept is in 1 of 1 / min_share of a language's sampled texts.
     kept = found.join(limits.select("k", "enough"), "k").where(F.col("n") >= F.col("enough")).select("k", "g").toArrow()
     k, g = (kept.column(c).to_numpy() for c in ("k", "g"))
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: Filter, *, n: int = 5, keep: tuple[str, ...]
 
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(apply, schema + ", lang_pred string, score double")
+    return rows.mapInArrow(lean(apply), schema + ", lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, n: int = 5, **options) -> DataFrame:

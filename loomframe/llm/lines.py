@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stash, tune
+from ._spark import lean, stash, tune
 from ._text import SOLID, Words, _power, buffer, mix, slices
 
 U64 = np.uint64
@@ -97,7 +97,7 @@ def recurring(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5, long_wo
                 n = np.diff(np.concatenate((at, [len(key)])))
                 yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(n), pa.array(np.minimum.reduceat(ids, at)), pa.array(words[at] >= least)], ["template", "n", "d", "long"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "text").mapInArrow(count, "template long, n long, d long, long boolean")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "text").mapInArrow(lean(count), "template long, n long, d long, long boolean")
     found = rows.groupBy("template").agg(F.sum("n").alias("n"), F.min("d").alias("first"), F.max("long").alias("long"))
     return found.where((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= 2))).drop("long")
 
@@ -145,7 +145,7 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5, long_w
                     gone[line[hit]] = True
                     yield rebuilt(part, gone, text, begin, stop)
 
-        return rows.mapInArrow(apply, schema)
+        return rows.mapInArrow(lean(apply), schema)
 
     rows = stash(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
@@ -157,7 +157,7 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5, long_w
                 row, d = (part.column(c).to_numpy()[text[line]] for c in ("_row", "_d"))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(row), pa.array(d), pa.array(line - first[text[line]])], ["template", "_row", "d", "line"])
 
-    hits = rows.select("_row", "_d", "text").mapInArrow(lines_of, "template long, _row long, d long, line long").join(found, "template").where("first <> d")
+    hits = rows.select("_row", "_d", "text").mapInArrow(lean(lines_of), "template long, _row long, d long, line long").join(found, "template").where("first <> d")
     hits = hits.groupBy("_row").agg(F.collect_set("line").alias("_gone"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,4 +169,4 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 3, min_words: int = 5, long_w
                     gone[[int(first[i]) + k for k in x or ()]] = True
                 yield rebuilt(part, gone, text, begin, stop)
 
-    return rows.join(hits, "_row", "left").mapInArrow(remove, schema)
+    return rows.join(hits, "_row", "left").mapInArrow(lean(remove), schema)

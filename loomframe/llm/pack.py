@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import stash, tune
+from ._spark import lean, stash, tune
 from ._tokens import MEMORY, Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 2, size: int = 1024
 
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()][: 8 if keep_ids else 7]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", "ids"][: len(kinds)]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + (", ids binary" if keep_ids else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(cut, encodes=True), PIECES + (", ids binary" if keep_ids else ""))
 
 
 class Plan:
@@ -236,4 +236,4 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, size: int = 1024,
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), pa.array(seq), pa.array(off)], names)
 
     ranked = cut.join(base, ["task", "length"]).select(*cut.columns[:5], (F.col("rank") + F.col("base")).alias("rank"), *cut.columns[7:])
-    return ranked.mapInArrow(place, PIECES.split(", task")[0] + (", ids binary" if keep_ids else "") + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), PIECES.split(", task")[0] + (", ids binary" if keep_ids else "") + ", sequence_id long, offset long")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import tune
+from ._spark import lean, tune
 from ._text import slices
 
 KINDS = ("email", "ip", "ipv6", "iban", "phone", "card", "ssn", "person")
@@ -341,7 +341,7 @@ def collisions(docs: DataFrame, key: bytes) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["kind", "entity", "surrogate"])
 
-    rows = docs.select("text").mapInArrow(detect, "kind string, entity string, surrogate string")
+    rows = docs.select("text").mapInArrow(lean(detect), "kind string, entity string, surrogate string")
     return rows.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a <> b").select("kind", "surrogate")
 
 
@@ -367,4 +367,4 @@ def replace(docs: DataFrame, key: bytes, *, keep: tuple[str, ...] = ("doc_id",),
                     spans.append(",".join(f"{k}:{s}:{e}" for s, e, k, _ in found))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(spans, pa.string())], [*names, "text", "n_entities", "entities"])
 
-    return rows.mapInArrow(apply, schema)
+    return rows.mapInArrow(lean(apply), schema)

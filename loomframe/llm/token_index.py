@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import new_path, tune
+from ._spark import lean, new_path, tune
 from ._text import mix
 from ._tokens import MEMORY, Encoder
 
@@ -222,7 +222,7 @@ def write(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int =
 
     order = ("k", "x", "row")  # the row's number lets equal rows stand in several shards
     keyed = docs.select(F.col(key).cast("long").alias("k"), "text", F.xxhash64("text").alias("x"), F.monotonically_increasing_id().alias("row"))
-    rows = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "text").mapInArrow(shard, "k long, shard long, offset long, length long")
+    rows = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "text").mapInArrow(lean(shard, encodes=True), "k long, shard long, offset long, length long")
     rows.write.parquet(f"{path}/records")
     records = spark.read.parquet(f"{path}/records")
     totals = {r.shard: r.n for r in records.groupBy("shard").agg(F.sum("length").alias("n")).collect()}  # one row per shard
@@ -256,7 +256,7 @@ def write(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", end_id: int =
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["b"])
 
     dealt = keys.select(_bucket(F.col("k"), n_buckets).alias("b"), "k", "r.shard", "r.offset", "r.length", "records")
-    dealt.repartition(min(n_buckets, n), "b").sortWithinPartitions("b").mapInArrow(index, "b long").count()
+    dealt.repartition(min(n_buckets, n), "b").sortWithinPartitions("b").mapInArrow(lean(index), "b long").count()
     return path
 
 
@@ -292,7 +292,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, *, key: str = "doc_i
 
     want = keys.select(F.col(key).cast("long").alias("k")).where("k is not null").withColumn("b", _bucket(F.col("k"), meta["buckets"]))
     dealt = want.repartition(min(meta["buckets"], n), "b").sortWithinPartitions("b")
-    return dealt.mapInArrow(find, "k long, shard long, offset long, length long, records long").withColumnRenamed("k", key)
+    return dealt.mapInArrow(lean(find), "k long, shard long, offset long, length long, records long").withColumnRenamed("k", key)
 
 
 def read(spark: SparkSession, path: str, found: DataFrame, *, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -335,7 +335,7 @@ def read(spark: SparkSession, path: str, found: DataFrame, *, key: str = "doc_id
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = found.withColumnRenamed(key, "k").repartition(max(n, len(first)), "shard").sortWithinPartitions("shard", "offset")
-    return by.mapInArrow(fetch, "k long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids).withColumnRenamed("k", key)
+    return by.mapInArrow(lean(fetch), "k long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids).withColumnRenamed("k", key)
 
 
 def expand(found: DataFrame, path: str, *, key: str = "doc_id", nulls: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import tune
+from ._spark import lean, tune
 from ._text import ALNUM, Words, buffer, inside, shingles, slices
 
 GRAMS = ((0,), (0, 1), (0, 2))
@@ -95,8 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bits: int
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_class keys at most
     sample = sample.groupBy("doc_id", "h", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # and so many rows
-    features = sample.mapInArrow(extract, "h long, y int, f array<int>, x double").repartition(1).sortWithinPartitions("h", "y", "f")
-    rows = features.mapInArrow(learn, "f long, w double").collect()
+    features = sample.mapInArrow(lean(extract), "h long, y int, f array<int>, x double").repartition(1).sortWithinPartitions("h", "y", "f")
+    rows = features.mapInArrow(lean(learn), "f long, w double").collect()
     if not rows:
         return -np.inf, np.zeros(0, np.int64), np.zeros(0)
     f, w = np.array([r.f for r in rows]), np.array([r.w for r in rows])
@@ -122,7 +122,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], *, bits:
                 total = (bias + np.bincount(pair >> bits, weight[pair & ((1 << bits) - 1)], part.num_rows)) * x if np.isfinite(bias) else np.full(part.num_rows, -np.inf)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.where(np.isfinite(total), 1 / (1 + np.exp(-np.clip(total, -700, 700))), 0.0))], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(apply), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -1,6 +1,7 @@
 import json
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomframe.llm import pack, token_index
+from loomframe.llm import _spark, langid, pack, token_index
 from loomframe.llm._tokens import Encoder
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -157,3 +158,32 @@ def test_pack(spark, which):
         assert at <= 1024
     if which == "real":
         assert len(by) <= 1.05 * -(-sum(r.length for r in got) // 1024)
+
+
+def test_a_stage_leaves_its_worker_small(spark, monkeypatch):
+    """The worker's function of another stage forgets remembered pieces and gives freed memory back, also if it fails."""
+    made, freed, kind = [], [], type(spark.range(1))
+    plain_map = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **k: made.append(f) or plain_map(self, f, *a, **k))
+    monkeypatch.setattr(_spark, "give_back", lambda: freed.append(1), raising=False)
+    docs = frame(spark, awkward()).select("doc_id", "text")
+    e = Encoder.of(public_tokenizers.path(FILES[0]), 2)
+    batches = docs.toArrow().to_batches()
+    langid.predict(docs, langid.Filter(["a"], [np.arange(9, dtype=np.uint64)], 10, 2))
+    for given_, fails in ((batches, False), ([*batches, None], True)):
+        want = e.ids(["a few words"])
+        assert len(e.known) > 1
+        freed.clear()
+        if fails:
+            with pytest.raises(AttributeError):
+                list(made[-1](iter(given_)))
+        else:
+            assert sum(b.num_rows for b in made[-1](iter(given_))) == docs.count()
+        assert freed == [1] and len(e.known) == 1 and not e.older
+        assert e.ids(["a few words"]) == want
+    pack.pieces(docs, public_tokenizers.path(FILES[0]))  # encodes: it frees, but remembers
+    monkeypatch.setattr(pack.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    e.ids(["a few words"])
+    freed.clear()
+    list(made[-1](iter(batches)))
+    assert freed == [1] and len(e.known) > 1
