@@ -11,6 +11,7 @@ that the row was read from), and the lower ones a place there. Ranges of it need
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -154,24 +155,59 @@ def steady(df: DataFrame) -> bool:
     return check(df._jdf.queryExecution().analyzed())
 
 
+def _by_row(df: DataFrame, keys: list[Key]) -> bool:
+    return len(keys) == 1 and not keys[0].descending and str(keys[0].col) == str(ref(ROW)) and steady(df)
+
+
 def parts(df: DataFrame, keys: list[Key], name: str) -> tuple[DataFrame, int | None]:
     """Ranges of any keys, or of the row column (how many there are of those isn't known)."""
-    if len(keys) == 1 and not keys[0].descending and str(keys[0].col) == str(ref(ROW)) and steady(df):
+    if _by_row(df, keys):
         return df.withColumn(name, F.shiftright(ref(ROW), PLACE)), None
     return ranged(df, keys, name)
 
 
-def carried(df: DataFrame, part: str, own: dict[str, Column], before: dict[str, Any], *, reverse: bool = False) -> DataFrame:
+def carried(df: DataFrame, part: str, own: dict[str, Column], before: dict[str, Any], *, reverse: bool = False, of: DataFrame | None = None) -> DataFrame:
     """Add to each row what the ranges before its own (behind it, if reverse) come to: `own` are aggregates of a range,
-    `before` functions that make one of those of many ranges into one, over a window of them."""
+    `before` functions that make one of those of many ranges into one, over a window of them. of: the frame that has the
+    ranges' rows, if another one has them at less cost."""
     w = Window.orderBy(ref(part).desc() if reverse else ref(part).asc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    ends = df.groupBy(ref(part)).agg(*[c.alias(k) for k, c in own.items()])
+    ends = (df if of is None else of).groupBy(ref(part)).agg(*[c.alias(k) for k, c in own.items()])
     return df.join(F.broadcast(ends.select(ref(part), *[before[k](ref(k)).over(w).alias(k) for k in own])), part)
 
 
+#: The row column as `placed` makes it, in an analysed plan.
+_PLACED = re.compile(rf"shiftleft\(cast\((__loom_p\d+)#\d+ as bigint\), {PLACE}\) \+ __loom_n\d+#\d+L\) AS {ROW}#\d+L")
+
+
+def _before_placing(df: DataFrame) -> tuple[DataFrame, str] | None:
+    """Where every row of a sort is still there, so that its places have no gaps: the rows as they were dealt over the
+    ranges, before any was sorted, and the column with the range."""
+
+    def row_of(node: Any) -> str | None:
+        found = node.output()
+        return next((str(a.exprId()) for a in (found.apply(i) for i in range(found.size())) if a.name() == ROW), None)
+
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias") and row_of(node) == row_of(node.children().head()):
+        node = node.children().head()
+    made = node.nodeName() == "Project" and _PLACED.search(node.simpleString(10**6))
+    while node.nodeName() == "Project":
+        node = node.children().head()
+    if not made or node.nodeName() != "Window":
+        return None
+    spark = df.sparkSession
+    rows = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node.children().head()), spark)
+    return rows, made[1]
+
+
 def numbered(df: DataFrame, keys: list[Key], name: str) -> DataFrame:
     """0-based row numbers in the keys' order."""
     part, base = temp_name("p"), temp_name("n")
+    if _by_row(df, keys) and (made := _before_placing(df)):
+        rows, old = made
+        out = carried(df.withColumn(part, F.shiftright(ref(ROW), PLACE)), part, {base: F.count(F.lit(1))}, {base: F.sum}, of=rows.withColumn(part, ref(old).cast("long")))
+        at = ref(ROW).bitwiseAND(F.lit((1 << PLACE) - 1)) - 1  # places are from 1
+        return out.withColumn(name, at + F.coalesce(ref(base), F.lit(0))).drop(part, base)
     by = [k.sorting() for k in keys]
     out, n = parts(df, keys, part)
     if n == 1:

@@ -320,6 +320,28 @@ def test_places_after_a_sort_need_no_sample(spark, tmp_path):
     assert s.to_list() == [n for n, i in enumerate(order) if i % 5 == 2]
 
 
+@pytest.mark.parametrize("rows", [0, 5, 3000])
+def test_numbers_after_a_sort_sort_nothing_again(spark, tmp_path, rows):
+    """The places are the numbers where all rows are still there; the ranges' rows are counted before any is sorted."""
+    spark.range(rows).selectExpr("id AS i", "if(id % 9 = 0, null, id % 13) AS k").write.parquet(f"{tmp_path}/t")
+    e = lf.scan_parquet(spark, f"{tmp_path}/t").collect()
+    d = e.sort("k", "i").with_columns(z=c("i") * 2)
+    order = sorted(range(rows), key=lambda i: (i % 9 != 0, i % 13 if i % 9 else 0, i))
+    s = (d["z"] % 5 == 2).alias("x").arg_true()
+    assert s.to_list() == [n for n, i in enumerate(order) if 2 * i % 5 == 2]
+    assert str(s._df._jdf.queryExecution().optimizedPlan()).count("row_number()") <= 1
+    # Not where rows are missing, doubled or have got another order since.
+    for got, want in (
+        (d.filter(c("i") % 3 == 0), [i for i in order if i % 3 == 0]),
+        (d.filter(c("i") % 3 == 0).select("i"), [i for i in order if i % 3 == 0]),
+        (lf.DataFrame(d._df.unionAll(d._df)), sorted([*order, *order], key=order.index)),
+        (d.sort("i", descending=True), sorted(order, reverse=True)),
+        (d.sort("i", descending=True).sort("z"), sorted(order)),
+        (d.tail(7), order[-7:]),
+    ):
+        assert sorted((r[0], r[1]) for r in got.with_row_index().select("index", "i").rows()) == list(enumerate(want)), want[:5]
+
+
 def whole_frames(spark):
     """Rows with nulls, and an ordered column of them in the three ways that a window over all rows has."""
     import random
